@@ -40,7 +40,9 @@ def targets(by_source: DataFrame, weights=WEIGHTS, share: float = SHARE, most: f
     x = x.withColumns({"all_size": F.sum("source_size").over(every) * F.lit(float(share)), "all_weight": F.sum("weight").over(every), "most_so_far": F.sum("most").over(rising), "weight_so_far": F.sum("weight").over(rising)})
     # the level if exactly the sources up to this one were full; it holds where the next one wouldn't be
     level = (F.col("all_size") - (F.col("most_so_far") - F.col("most"))) / (F.col("all_weight") - (F.col("weight_so_far") - F.col("weight")))
-    x = x.withColumn("level", F.min(F.when(level <= F.col("full_at"), level)).over(every))
+    x = x.withColumns({"level": level, "place": F.row_number().over(rising)})
+    fits = F.col("level") <= F.col("full_at")  # the first for which it holds
+    x = x.withColumn("level", F.min_by(F.when(fits, F.col("level")), F.when(fits, F.col("place"))).over(every))
     return x.select("source", "source_size", F.least("most", F.coalesce(F.col("weight") * F.col("level"), F.col("most"))).alias("target"))
 
 
