@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from quadrant.llm.chat import op6_chat
 from quadrant.llm.mixing import op3_mixing
+from quadrant.llm.urls import op9_urls
 
 
 def queries() -> dict:
-    return {"op3_mixing": op3_mixing}
+    return {"op3_mixing": op3_mixing, "op6_chat": op6_chat, "op9_urls": op9_urls}
 
 
 def oracle_sql() -> dict:
