@@ -8,11 +8,12 @@ from quadrant.llm.mixing import op3_mixing
 from quadrant.llm.near_dedup import op7_near_dedup
 from quadrant.llm.packing import op5_packing
 from quadrant.llm.secrets import op4_secrets
+from quadrant.llm.toxicity import op10_toxicity
 from quadrant.llm.urls import op9_urls
 
 
 def queries() -> dict:
-    return {"op1_fingerprints": op1_fingerprints, "op3_mixing": op3_mixing, "op4_secrets": op4_secrets, "op5_packing": op5_packing, "op6_chat": op6_chat, "op7_near_dedup": op7_near_dedup, "op9_urls": op9_urls}
+    return {"op1_fingerprints": op1_fingerprints, "op3_mixing": op3_mixing, "op4_secrets": op4_secrets, "op5_packing": op5_packing, "op6_chat": op6_chat, "op7_near_dedup": op7_near_dedup, "op9_urls": op9_urls, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict:
