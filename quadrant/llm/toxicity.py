@@ -23,8 +23,8 @@ from quadrant.llm.common import table, written
 SAMPLE, THRESHOLD = 20_000, 0.3
 SLOTS, PREFIXES = 1 << 22, (4, 5, 6)
 #: A feature is chosen if its chi-squared over the labelled sample is this high, the highest CHOSEN at most.
-LEAST_CHI2, CHOSEN = 24.0, 8192
-RIDGE, COUNTERFACTUAL, STEPS = 2e-4, 1.0, 400
+LEAST_CHI2, CHOSEN = 20.0, 8192
+RIDGE, COUNTERFACTUAL, STEPS = 1e-4, 1.0, 400
 #: Groups of names that may stand for each other; the last of each is neutral.
 IDENTITIES = (("women", "men", "girls", "boys", "people"), ("woman", "man", "girl", "boy", "person"), ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist", "religious"), ("black", "white", "asian", "latino", "african", "european"), ("gay", "lesbian", "straight", "transgender", "bisexual", "single"), ("immigrants", "refugees", "foreigners", "natives", "residents"), ("disabled", "deaf", "blind", "elderly", "young", "adult"))
 CACHE = 400_000
