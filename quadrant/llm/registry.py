@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quadrant.llm.chat import op6_chat
 from quadrant.llm.fingerprints import op1_fingerprints
+from quadrant.llm.lm_scoring import op8_lm_scoring
 from quadrant.llm.mixing import op3_mixing
 from quadrant.llm.near_dedup import op7_near_dedup
 from quadrant.llm.packing import op5_packing
@@ -13,7 +14,7 @@ from quadrant.llm.urls import op9_urls
 
 
 def queries() -> dict:
-    return {"op1_fingerprints": op1_fingerprints, "op3_mixing": op3_mixing, "op4_secrets": op4_secrets, "op5_packing": op5_packing, "op6_chat": op6_chat, "op7_near_dedup": op7_near_dedup, "op9_urls": op9_urls, "op10_toxicity": op10_toxicity}
+    return {"op1_fingerprints": op1_fingerprints, "op3_mixing": op3_mixing, "op4_secrets": op4_secrets, "op5_packing": op5_packing, "op6_chat": op6_chat, "op7_near_dedup": op7_near_dedup, "op8_lm_scoring": op8_lm_scoring, "op9_urls": op9_urls, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict:
