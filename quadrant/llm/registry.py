@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from quadrant.llm.chat import op6_chat
 from quadrant.llm.fingerprints import op1_fingerprints
 from quadrant.llm.lm_scoring import op8_lm_scoring
 from quadrant.llm.mixing import op3_mixing
 from quadrant.llm.near_dedup import op7_near_dedup
+from quadrant.llm.neighbours import op2_neighbours
 from quadrant.llm.packing import op5_packing
 from quadrant.llm.secrets import op4_secrets
 from quadrant.llm.toxicity import op10_toxicity
@@ -14,8 +16,8 @@ from quadrant.llm.urls import op9_urls
 
 
 def queries() -> dict:
-    return {"op1_fingerprints": op1_fingerprints, "op3_mixing": op3_mixing, "op4_secrets": op4_secrets, "op5_packing": op5_packing, "op6_chat": op6_chat, "op7_near_dedup": op7_near_dedup, "op8_lm_scoring": op8_lm_scoring, "op9_urls": op9_urls, "op10_toxicity": op10_toxicity}
+    return {"op1_fingerprints": op1_fingerprints, "op2_neighbours": op2_neighbours, "op3_mixing": op3_mixing, "op4_secrets": op4_secrets, "op5_packing": op5_packing, "op6_chat": op6_chat, "op7_near_dedup": op7_near_dedup, "op8_lm_scoring": op8_lm_scoring, "op9_urls": op9_urls, "op10_toxicity": op10_toxicity, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
