@@ -1,0 +1 @@
+"""Empty on purpose: sampling designs are made from whole areas, and nothing in them is a stream."""
