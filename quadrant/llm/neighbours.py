@@ -4,8 +4,8 @@ The largest inner product is the least distance once every vector has one more c
 Each of up to DIRECTIONS orthonormal directions is a hash function of one projection, kept as a sorted array by block of
 rows. A query's window in each array is centred on its own projection and widens level by level (virtual rehashing:
 nothing is hashed again); a row collides once for each level's window that it is in. Rows whose collisions exceed the
-block's threshold are verified: the threshold is the highest that lets VERIFY of the block, or LEAST rows, pass, ties
-included. Every row is in the index, and every query meets every block, so no row is out of reach.
+block's threshold are verified: the threshold is the highest that lets VERIFY of the block, or LEAST times k rows, pass,
+ties included. Every row is in the index, and every query meets every block, so no row is out of reach.
 
 The widths are quantiles of projected distances over at most SAMPLE rows, those with the least hash of their id.
 """
@@ -21,7 +21,7 @@ from quadrant.llm.common import table
 
 SAMPLE, DIRECTIONS = 2000, 128
 LEVELS = (0.3, 0.5, 0.7, 0.85)
-VERIFY, LEAST = 0.2, 100
+VERIFY, LEAST = 0.2, 20
 ROWS, QUERIES = 4096, 512
 SEED = 5
 
@@ -59,7 +59,7 @@ class Index:
         """(query id, ids, scores) for each query: the k best of the verified rows, by score, then id."""
         scale = np.sqrt((self.vectors**2).sum(1).max()) / np.sqrt((queries**2).sum(1))
         projected = np.column_stack([queries * scale[:, None], np.zeros(len(queries))]) @ self.basis
-        want = min(len(ids), max(LEAST, k + 1, int(VERIFY * len(ids))))
+        want = min(len(ids), max(LEAST * k, int(VERIFY * len(ids))))
         for q, vector, total in zip(query_ids, queries, self.collisions(projected), strict=True):
             threshold = np.partition(total, len(total) - want)[len(total) - want]
             at = np.nonzero((total >= threshold) & (ids != q))[0]
