@@ -102,3 +102,17 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join(F.transform("loss_spans", lambda s: let(F.substring(F.col("formatted"), s["start"] + 1, s["end"] - s["start"]), lambda t: F.when(F.col("escaped"), unescaped(t)).otherwise(t))), "")
     return x.withColumn("loss", loss).select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "escaped")
+
+
+SQL = r"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+  e AS (SELECT *, len(regexp_extract_all(text, '<<SYS>>|<</SYS>>|\[INST\]|\[/INST\]|<s>|</s>|\[TURN\]|\[TEXT\]|\[/TURN\]')) AS marks,
+      len(regexp_extract_all(role, '<<SYS>>|<</SYS>>|\[INST\]|\[/INST\]|<s>|</s>|\[TURN\]|\[TEXT\]|\[/TURN\]')) AS role_marks FROM r)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(text) + marks + CASE role WHEN 'system' THEN 17 WHEN 'user' THEN 15 WHEN 'assistant' THEN 9 ELSE length(role) + role_marks + 23 END) AS BIGINT) AS formatted_chars,
+  sum(marks + CASE WHEN role IN ('system', 'user', 'assistant') THEN 0 ELSE role_marks END) > 0 AS escaped
+FROM e GROUP BY conv_id
+"""

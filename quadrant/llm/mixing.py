@@ -82,8 +82,8 @@ def mix(docs: DataFrame, size: Column | None = None, weights=WEIGHTS, share: flo
     Equal rows have equal hashes and are taken alike. Null text: size 0. Null source: a source of its own, the last.
     Null doc_id: hashed by its text. Empty table: empty.
     """
-    row_hash = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")))
-    hashed = F.shiftrightunsigned(row_hash, 64 - LEVELS * LEVEL_BITS)
+    named = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")))
+    hashed = F.shiftright(F.conv(F.substring(named, 1, 8), 16, 10).cast("long"), 32 - LEVELS * LEVEL_BITS)
     sized = docs.select("doc_id", "source", (word_count(F.col("text")) if size is None else size).cast("long").alias("size"), hashed.alias("hash"), *(keep or []))
     sized = written(sized, "mix-sizes")
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -101,3 +101,26 @@ def mix(docs: DataFrame, size: Column | None = None, weights=WEIGHTS, share: flo
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents, as the query's contract has it."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source", "source_size", "target", "copies", "taken")
+
+
+#: The same thresholds from a running sum over all hashes, which a histogram level by level saves Spark.
+SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+      CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 8) AS BIGINT) >> 2 AS h FROM documents),
+  s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
+  w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS weight, source_size * 2.0::DOUBLE AS most FROM s),
+  f AS (SELECT *, most / weight AS full_at FROM w),
+  r AS (SELECT *, sum(source_size) OVER () * 1.5::DOUBLE AS all_size, sum(weight) OVER () AS all_weight, sum(most) OVER o AS most_so_far, sum(weight) OVER o AS weight_so_far, row_number() OVER o AS place
+      FROM f WINDOW o AS (ORDER BY full_at, source IS NULL, source)),
+  v AS (SELECT *, (all_size - (most_so_far - most)) / (all_weight - (weight_so_far - weight)) AS level FROM r),
+  t AS (SELECT source, source_size, least(most, coalesce(weight * (SELECT level FROM v WHERE level <= full_at ORDER BY place LIMIT 1), most)) AS target FROM v),
+  q AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 2) ELSE 0 END AS whole FROM t),
+  b AS (SELECT *, target - whole * source_size AS need FROM q),
+  g AS (SELECT source, h, sum(size) AS words FROM d GROUP BY 1, 2),
+  c AS (SELECT source, h, words, sum(words) OVER (PARTITION BY source ORDER BY h) AS upto FROM g),
+  x AS (SELECT c.source, min_by({'h': c.h, 'upto': c.upto, 'below': c.upto - c.words}, c.h) AS e FROM c JOIN b ON c.source IS NOT DISTINCT FROM b.source WHERE c.upto > b.need GROUP BY 1),
+  k AS (SELECT b.*, CASE WHEN e IS NULL THEN 1073741824 ELSE e.h + CASE WHEN e.upto - need < need - e.below THEN 1 ELSE 0 END END AS bound FROM b LEFT JOIN x ON x.source IS NOT DISTINCT FROM b.source)
+SELECT d.doc_id, d.size, d.source, k.source_size, k.target, CAST(least(k.whole + CASE WHEN d.h < k.bound THEN 1 ELSE 0 END, 2) AS BIGINT) AS copies,
+  CAST(least(k.whole + CASE WHEN d.h < k.bound THEN 1 ELSE 0 END, 2) * d.size AS BIGINT) AS taken
+FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source
+"""

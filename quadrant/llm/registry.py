@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from quadrant.llm import chat, mixing, near_dedup
 from quadrant.llm.chat import op6_chat
 from quadrant.llm.fingerprints import op1_fingerprints
 from quadrant.llm.lm_scoring import op8_lm_scoring
@@ -20,4 +21,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    found = {"op3_mixing": mixing.SQL, "op6_chat": chat.SQL, "op7_near_dedup": near_dedup.SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    return {name: sql for name, sql in found.items() if sql}
