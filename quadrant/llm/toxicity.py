@@ -30,9 +30,6 @@ IDENTITIES = (("women", "men", "girls", "boys", "people"), ("woman", "man", "gir
 CACHE = 400_000
 LETTERS = bytes.maketrans(bytes(range(65, 91)) + b"".join(bytes([c]) for c in range(128) if not chr(c).isalnum()), bytes(range(97, 123)) + b" " * sum(not chr(c).isalnum() for c in range(128)))
 
-_slots: dict[bytes, tuple[int, ...]] = {}
-
-
 def words_of(text: str | None) -> set[bytes]:
     """The distinct words: runs of letters, digits and anything beyond ASCII, A-Z lower-cased."""
     return set(text.encode("utf-8", "surrogatepass").translate(LETTERS).split()) if isinstance(text, str) else set()
@@ -40,14 +37,9 @@ def words_of(text: str | None) -> set[bytes]:
 
 def slots_of(word: bytes) -> tuple[int, ...]:
     """The hashed features of a word: itself, and its first PREFIXES characters."""
-    got = _slots.get(word)
-    if got is None:
-        text = word.decode("utf-8", "replace")
-        names = [b"=" + word] + [b"^" + text[:k].encode() for k in PREFIXES if len(text) >= k]
-        got = tuple(xxhash.xxh3_64_intdigest(x) % SLOTS for x in names)
-        if len(_slots) < CACHE:
-            _slots[word] = got
-    return got
+    text = word.decode("utf-8", "replace")
+    names = [b"=" + word] + [b"^" + text[:k].encode() for k in PREFIXES if len(text) >= k]
+    return tuple(xxhash.xxh3_64_intdigest(x) % SLOTS for x in names)
 
 
 def swapped(words: set[bytes], identities=IDENTITIES) -> set[bytes] | None:
@@ -125,28 +117,25 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, identities=IDENTITI
     return {int(s): float(w) for s, w in zip(chosen, weights, strict=True)}, bias
 
 
-def _scorer(weights: dict[int, float], bias: float, kept: list[str]):
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _scorer(weights: dict[int, float], bias: float):
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         telling: dict[bytes, tuple[int, ...]] = {}  # the chosen features by word
         dull: set[bytes] = set()
-        for pdf in batches:
+        for texts in batches:
             out = []
-            for text in pdf.text:
+            for text in texts:
                 found: set[int] = set()
-                words = words_of(text)
-                for w in words - dull:
+                for w in words_of(text) - dull:
                     got = telling.get(w)
                     if got is None:
                         got = tuple(s for s in slots_of(w) if s in weights)
-                        if len(telling) + len(dull) < CACHE:
-                            if got:
-                                telling[w] = got
-                            else:
-                                dull.add(w)
+                        if got:
+                            telling[w] = got
+                        elif len(dull) < CACHE:
+                            dull.add(w)
                     found.update(got)
                 out.append(bias + sum(weights[s] for s in sorted(found)))
-            z = np.clip(np.array(out), -40, 40)
-            yield pdf[kept].assign(score=1 / (1 + np.exp(-z)))
+            yield pd.Series(1 / (1 + np.exp(-np.clip(np.array(out, float), -40, 40))))
 
     return score
 
@@ -161,9 +150,8 @@ def score(docs: DataFrame, model: tuple[dict[int, float], float], keep: tuple[st
 
     Null or empty text: the score of a text without features. Repeated rows: each scored. Empty table: empty.
     """
-    kept = ["doc_id", *keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
-    return docs.select(*kept, *([] if "text" in keep else ["text"])).mapInPandas(_scorer(*model, kept), f"{schema}, score double")
+    run = F.pandas_udf(_scorer(*model), "double")  # texts go to Python, and only scores come back
+    return docs.select("doc_id", *keep, run(F.col("text")).alias("score"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
