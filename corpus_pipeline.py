@@ -23,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that of the smallest id."""
-    dropped = near_dedup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    dropped = near_dedup.near_duplicates(docs, NEAR_PERCENT).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
@@ -51,6 +51,9 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(packing.pieces(docs))
 
 
+#: Least similarity of near-duplicates, in percent; the query op7 has its own.
+NEAR_PERCENT = 80
+
 STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_duplicates), ("secrets", redact_secrets), ("mixing", mix_sources), ("packing", pack_sequences)]
 
 #: Learning a classifier and packing have no SQL form.

@@ -3,11 +3,12 @@
 Texts with equal shingle sets are one class, and only one text a class goes on. Each of PERMUTATIONS hash functions
 gives two signature values, its minimum and its maximum over the set, so half as many evaluations give as long a
 signature; min and max of one permutation are negatively correlated, so the estimate is unbiased with lower variance.
-Bands of ROWS values key buckets; in a bucket each text is tied to the smallest, which gives candidate groups as
+Bands of a few values key buckets; in a bucket each text is tied to the smallest, which gives candidate groups as
 connected components of a linear number of ties. Within a group all pairs are confirmed on full shingle sets, in pairs of
 blocks of bounded size, one task each, and a task returns a spanning forest of the links it finds, never all of them.
 A group too large for that is confirmed bucket by bucket instead. The links' components are the result: a text that
-no chain of links reaches stays alone. Two texts at similarity 0.85 miss all 21 bands with probability 5e-5.
+no chain of links reaches stays alone. The threshold fixes the bands: 21 of 6 values at 0.85, 25 of 5 at 0.8, so that two
+texts at the threshold miss all of them with probability 5e-5, if values agree independently.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from quadrant.llm.common import table, written
 from quadrant.llm.graphs import components
 
 SHINGLE, PERCENT = 5, 85
-PERMUTATIONS, ROWS = 64, 6
-BANDS = 2 * PERMUTATIONS // ROWS
+#: MISS: chance at most, of two texts at the threshold to share no band.
+PERMUTATIONS, MISS = 64, 1e-4
 #: A block has about this many shingles, counting at least LEAST a text; a group of more than GROUP goes by buckets.
 BLOCK, LEAST, GROUP = 400_000, 1600, 40_000_000
 CACHE = 300_000
@@ -65,8 +66,13 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(s)
 
 
-def band_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """BANDS keys for each set; no set may be empty."""
+def band_rows(percent: int) -> int:
+    """Values a band: as many as leave two texts at similarity percent a chance of MISS at most to share no band."""
+    return max((r for r in range(2, 2 * PERMUTATIONS) if (1 - (percent / 100) ** r) ** (2 * PERMUTATIONS // r) <= MISS), default=1)
+
+
+def band_keys(sets: list[np.ndarray], band: int) -> np.ndarray:
+    """Keys for each set, one for every band of so many values; no set may be empty."""
     starts = np.cumsum([0, *map(len, sets)])[:-1]
     flat = np.concatenate(sets)
     values = np.empty((2 * PERMUTATIONS, len(sets)), np.uint64)
@@ -75,31 +81,34 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
             v = ((flat * a) >> np.uint64(32)).astype(np.uint32)
             values[2 * p] = np.minimum.reduceat(v, starts)
             values[2 * p + 1] = np.maximum.reduceat(v, starts)
-        keys = np.empty((len(sets), BANDS), np.uint64)
-        for b in range(BANDS):
+        keys = np.empty((len(sets), 2 * PERMUTATIONS // band), np.uint64)
+        for b in range(keys.shape[1]):
             k = np.full(len(sets), np.uint64(b + 1))
-            for r in range(ROWS):
-                k = (k ^ values[b * ROWS + r]) * STEP
+            for r in range(band):
+                k = (k ^ values[b * band + r]) * STEP
                 k ^= k >> np.uint64(31)
             keys[:, b] = k
     return keys.view(np.int64)
 
 
-def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        at = 0
-        while at < len(pdf):
-            sets, total, start = [], 0, at
-            while at < len(pdf) and total < 1_000_000:  # bounds the arrays, however long the texts
-                sets.append(shingles(pdf.text.iat[at]))
-                total += len(sets[-1])
-                at += 1
-            full = [s for s in sets if len(s)]
-            keys = iter(band_keys(full) if full else ())
-            out = pdf.iloc[start:at][["doc_id"]].assign(n_shingles=[len(s) for s in sets])
-            out["digest"] = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            out["bands"] = [next(keys) if len(s) else None for s in sets]
-            yield out.astype({"doc_id": "Int64", "n_shingles": "int64"})
+def _signed(band: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            at = 0
+            while at < len(pdf):
+                sets, total, start = [], 0, at
+                while at < len(pdf) and total < 1_000_000:  # bounds the arrays, however long the texts
+                    sets.append(shingles(pdf.text.iat[at]))
+                    total += len(sets[-1])
+                    at += 1
+                full = [s for s in sets if len(s)]
+                keys = iter(band_keys(full, band) if full else ())
+                out = pdf.iloc[start:at][["doc_id"]].assign(n_shingles=[len(s) for s in sets])
+                out["digest"] = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+                out["bands"] = [next(keys) if len(s) else None for s in sets]
+                yield out.astype({"doc_id": "Int64", "n_shingles": "int64"})
+
+    return run
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,8 +120,8 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield part[["node", "groups"]].assign(shingles=[s.tobytes() for s in sets])[same]
 
 
-def _linked(sets: list[np.ndarray], cross: np.ndarray | None) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs with similarity of PERCENT or more. cross: only pairs of rows that differ in it."""
+def _linked(sets: list[np.ndarray], cross: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs with similarity of percent or more. cross: only pairs of rows that differ in it."""
     n = len(sets)
     size = np.array([len(s) for s in sets])
     flat, owner = np.concatenate(sets), np.repeat(np.arange(n), size)
@@ -130,7 +139,7 @@ def _linked(sets: list[np.ndarray], cross: np.ndarray | None) -> list[tuple[int,
         m[owner[lo:hi], column[lo:hi] - a] = 1
         common += m @ m.T  # counts under 2^24 are exact in 32 bits
     union = size[:, None] + size[None, :] - common
-    near = np.triu(100.0 * common.astype(np.float64) >= PERCENT * union.astype(np.float64), 1)
+    near = np.triu(100.0 * common.astype(np.float64) >= percent * union.astype(np.float64), 1)
     if cross is not None:
         near &= cross[:, None] != cross[None, :]
     root = list(range(n))
@@ -150,26 +159,30 @@ def _linked(sets: list[np.ndarray], cross: np.ndarray | None) -> list[tuple[int,
     return out
 
 
-def _confirm(pdf: pd.DataFrame) -> pd.DataFrame:
+def _confirm(percent: int):
     """Links within one pair of blocks. The blocks of a pair are equal for links within a block."""
-    pdf = pdf.sort_values("node", kind="stable").drop_duplicates("node").reset_index(drop=True)
-    sets = [np.frombuffer(b, np.uint64) for b in pdf.shingles]
-    cross = pdf.own.to_numpy() if pdf.one.iat[0] != pdf.two.iat[0] else None
-    node = pdf.node.to_numpy()
-    found = _linked(sets, cross) if len(sets) > 1 else []
-    return pd.DataFrame({"a": [node[i] for i, _ in found], "b": [node[j] for _, j in found]}, dtype="int64")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node", kind="stable").drop_duplicates("node").reset_index(drop=True)
+        sets = [np.frombuffer(b, np.uint64) for b in pdf.shingles]
+        cross = pdf.own.to_numpy() if pdf.one.iat[0] != pdf.two.iat[0] else None
+        node = pdf.node.to_numpy()
+        found = _linked(sets, cross, percent) if len(sets) > 1 else []
+        return pd.DataFrame({"a": [node[i] for i, _ in found], "b": [node[j] for _, j in found]}, dtype="int64")
+
+    return run
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text). percent: least similarity of a link.
 
     Null, empty or blank text: an empty set, linked with nothing. Rows with one text: linked, if it has words. Repeated
     rows: each returned, as one document. Null doc_id: its component is null, and it is kept. Empty table: empty.
     """
-    signed = written(docs.select("doc_id", "text").mapInPandas(_signed, "doc_id long, n_shingles long, digest binary, bands array<long>"), "dedup-signatures")
+    signed = written(docs.select("doc_id", "text").mapInPandas(_signed(band_rows(percent)), "doc_id long, n_shingles long, digest binary, bands array<long>"), "dedup-signatures")
     classes = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("x"))
     classes = written(classes.select("digest", F.col("x.doc_id").alias("node"), "x.n_shingles", "x.bands"), "dedup-classes")
-    links = components(_links(docs, classes))
+    links = components(_links(docs, classes, percent))
     of_class = classes.join(links, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
     own = F.when(F.col("digest").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
@@ -177,7 +190,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _links(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def _links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(a, b): links that connect what full-set similarity connects among the classes that share a band."""
     keyed = classes.select("node", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -195,19 +208,19 @@ def _links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     both = by_group.withColumn("kind", F.lit(0)).unionByName(by_bucket.withColumn("kind", F.lit(1)))
     n = F.ceil(F.col("total") / BLOCK).cast("int")
     both = both.withColumns({"n": n, "own": F.pmod(F.xxhash64("node"), n).cast("int")})
-    places = both.groupBy("node", "digest").agg(F.collect_list(F.struct("kind", "group", "n", "own")).alias("groups"))  # at most BANDS a node
+    places = both.groupBy("node", "digest").agg(F.collect_list(F.struct("kind", "group", "n", "own")).alias("groups"))  # at most one a band for each node
     texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(places, F.col("doc_id") == F.col("node"))
     sets = texts.select("node", "digest", "text", "groups").mapInPandas(_sets, "node long, groups array<struct<kind:int,group:long,n:int,own:int>>, shingles binary")
     sets = sets.select("node", F.explode("groups").alias("g"), "shingles").select("node", "g.*", "shingles")
     # each block meets each other block, and itself
     sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     sets = sets.select("node", "kind", "group", "own", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "shingles")
-    return sets.groupBy("kind", "group", "one", "two").applyInPandas(_confirm, "a long, b long")
+    return sets.groupBy("kind", "group", "one", "two").applyInPandas(_confirm(percent), "a long, b long")
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates among all documents, as the query's contract has it."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), PERCENT)
 
 
 #: All pairs that share a shingle: right, and for small tables.

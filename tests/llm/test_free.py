@@ -193,6 +193,38 @@ def test_near_duplicates_by_brute_force(spark, monkeypatch, small):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
 
 
+def test_pipeline_stage_by_brute_force(spark):
+    """Near copies at 0.8 and more go, those between 0.8 and 0.85 among them; those just below 0.8 stay."""
+    rng = random.Random(8)
+    draw = lambda: "".join(rng.choices(string.ascii_letters, k=5))
+    rows = []
+    for edits in (2, 3, 4, 4, 5, 6):
+        for _ in range(12):
+            base = [draw() for _ in range(204)]  # 200 shingles, of which an edit takes 5
+            own = list(base)
+            for k in range(edits):
+                own[10 + 20 * k] = draw()
+            rows += [" ".join(base), " ".join(own)]
+    rng.shuffle(rows)
+    sets = []
+    for text in rows:
+        w = text.lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)})
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(len(sets)) for b in range(a)}
+    assert sum(0.8 <= s < 0.85 for s in alike.values()) >= 20 and sum(0.7 <= s < 0.8 for s in alike.values()) >= 20
+    found = groups_of([p for p, s in alike.items() if s >= 0.8], range(len(rows)))
+    docs = spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns and {r.doc_id for r in got.collect()} == set(found.values())
+
+
+def test_bands_fit_the_threshold():
+    for percent in (70, 80, 85, 90):
+        r = near_dedup.band_rows(percent)
+        assert (1 - (percent / 100) ** r) ** (128 // r) <= 1e-4
+    assert near_dedup.band_rows(85) == 6 and near_dedup.band_rows(80) == 5
+
+
 def test_near_duplicates_edges(spark, tiny, nothing):
     got = near_dedup.near_duplicates(tiny).collect()
     assert len(got) == tiny.count() and near_dedup.near_duplicates(nothing).count() == 0
