@@ -278,6 +278,48 @@ def test_spelling_is_a_probability():
     assert len(grown) == 256 and sum(grown.values()) == pytest.approx(1)
 
 
+def test_contexts_are_of_whole_words():
+    """The slots of every byte's first bit, by brute force: nothing begins afresh, however long the word."""
+    rng = random.Random(9)
+    long = "".join(rng.choices(string.ascii_letters, k=150)).encode()
+    words = [long, long[:40], long[:70] + b"z" * 30, b"a", "é".encode() * 200, b"x" * 5000]
+    mask, golden = (1 << 64) - 1, int(lm_scoring.GOLDEN)
+    want = {}
+    for w in words:
+        prefix, w = golden, w + b" "
+        for i in range(len(w)):
+            slots = []
+            for o, c in enumerate([0, *(int.from_bytes(w[max(0, i - k) : i], "big") for k in (1, 2, 3, 4)), prefix]):
+                h = ((((c + o) * golden) & mask) ^ 1) * int(lm_scoring.MULTIPLIERS[o]) & mask
+                h ^= h >> 29
+                slots.append(((h * golden & mask) >> (64 - lm_scoring.SLOT_BITS[o])) + int(lm_scoring.OFFSETS[o]))
+            want[w[: i + 1]] = tuple(slots)  # once for each beginning
+            prefix = (prefix ^ (w[i] + 1)) * golden & mask
+            prefix ^= prefix >> 27
+    got = Counter()
+    for _, _, weight, slots, c0, _ in lm_scoring.Coder(words).bits():
+        if c0[0] == 1:
+            for k, s in enumerate(map(tuple, slots.T.tolist())):
+                got[s] += weight[k]
+    times = Counter()
+    for w in words:
+        times.update(want[(w + b" ")[: i + 1]] for i in range(len(w) + 1))
+    assert got == times
+
+
+def test_two_passes_of_learning():
+    import pandas as pd
+
+    words = [b"alpha", b"beta", b"y" * 100]
+
+    class Model:
+        value = np.zeros((2, lm_scoring.OFFSETS[-1]), np.float32)
+
+    value = next(iter(lm_scoring._learn(Model)([pd.DataFrame({"word": words, "c": 1})]))).value.to_numpy()
+    heard = value[lm_scoring.GATES * lm_scoring.CONTEXTS :][: lm_scoring.GATES]
+    assert heard.sum() == 2 * 8 * sum(len(w) + 1 for w in words)
+
+
 def test_scores_beat_the_base_on_new_texts(spark):
     rng = random.Random(6)
     parts = {"en": ["th", "er", "ing", "on", "an", "re"], "de": ["sch", "ei", "en", "ung", "zu", "au"]}
