@@ -36,13 +36,14 @@ def syncmers(text: Column) -> Column:
 
 
 def sketch(text: Column) -> Column:
-    """The KEEP least distinct syncmer hashes (32 bits), ascending. Fewer than K words: the hash of all of them. None: empty."""
+    """The KEEP least distinct syncmer hashes (32 bits), ascending. No syncmer, as in texts of fewer than K words:
+    the hash of all words. No words: empty."""
 
     def of_words(h: Column) -> Column:
         n = F.size(h)
         inner = F.zip_with(F.slice(h, 1, n - 1), F.slice(h, 2, n - 1), lambda a, b: F.xxhash64(a, b))
         found = let(inner, lambda s: F.array_compact(_anchors(s, n - (K - 1))))
-        return F.when(n == 0, F.array().cast("array<bigint>")).when(n < K, F.array(F.xxhash64(h))).otherwise(found)
+        return F.when(n == 0, F.array().cast("array<bigint>")).when(n < K, F.array(F.xxhash64(h))).otherwise(let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(F.array(F.xxhash64(h)))))
 
     words = F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
     short = F.transform(let(words, of_words), lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)))

@@ -64,6 +64,21 @@ def test_fingerprints_edges(spark, tiny, nothing):
     assert [r.l for r in like] == [1.0]
 
 
+def test_short_texts_have_fingerprints(spark):
+    """Texts of four to eight words, many without a syncmer: only those of no words are empty."""
+    rng = random.Random(2)
+    rows = [(k, " ".join("".join(rng.choices(string.ascii_lowercase, k=5)) for _ in range(4 + k % 5))) for k in range(200)]
+    rows += [(200, "Thre er. And erhe."), (201, "Inouretiertion onesen onst athaha."), (202, ""), (203, " \n")]
+    frame = spark.createDataFrame(rows, "k long, text string").withColumn("s", fingerprints.sketch(F.col("text")))
+    got = {r.k: r for r in frame.select("k", "s", F.size(fingerprints.syncmers(F.col("text"))).alias("n")).collect()}
+    assert sum(r.n == 0 for k, r in got.items() if k < 200) > 10
+    assert [k for k, r in sorted(got.items()) if not r.s] == [202, 203]
+    assert len({tuple(got[k].s) for k in range(202)}) == 202
+    assert all(len(r.s) == r.n for r in got.values() if r.n)
+    like = frame.where("k = 200").select(F.col("s").alias("a")).crossJoin(frame.where("k IN (201, 202)").select(F.col("s").alias("b"))).select(fingerprints.likeness(F.col("a"), F.col("b")).alias("l"))
+    assert [r.l for r in like.collect()] == [0.0, 0.0]
+
+
 # mixing
 
 
