@@ -20,11 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors see. Where it is unset, as in tests, a fresh local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder in spark.checkpoint.dir, else the context's checkpoint folder, which all executors see.
+
+    Where neither is set: a fresh local folder if the master is local, as in tests; an error on a cluster, where each
+    machine would write to a folder of its own.
+    """
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
         found = spark.conf.get("quadrant.shared.dir", None)
         if not found:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             found = tempfile.mkdtemp(prefix="quadrant-shared-")
             spark.conf.set("quadrant.shared.dir", found)
     return found.rstrip("/")
@@ -46,6 +53,32 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def running(sizes: Column) -> Column:
+    """Sums of an array of ints up to each of its elements.
+
+    Spark has no running sum within a row, and appending to an array copies it; so sums are built in chunks of about
+    the root of the length, which costs n^1.5 element copies instead of n^2.
+    """
+    step = lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["got"], F.array(a["at"] + x)).alias("got"))
+    sums = lambda xs, start: F.aggregate(xs, F.struct(start.alias("at"), F.array().cast("array<int>").alias("got")), step)["got"]
+
+    def chunked(x: Column) -> Column:
+        each = F.greatest(F.ceil(F.sqrt(F.size(x).cast("double"))), F.lit(1)).cast("int")
+
+        def of(k: Column) -> Column:
+            chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / k).cast("int")), lambda i: F.slice(x, i * k + 1, k))
+
+            def place(c: Column) -> Column:
+                totals = F.transform(c, lambda part: F.aggregate(part, F.lit(0), lambda a, v: a + v))
+                return let(sums(totals, F.lit(0)), lambda ends: F.flatten(F.transform(c, lambda part, i: sums(part, F.when(i == 0, F.lit(0)).otherwise(F.element_at(ends, F.greatest(i, F.lit(1)).cast("int")))))))
+
+            return let(chunks, place)
+
+        return F.when(F.size(x) > 0, let(each, of)).otherwise(F.array().cast("array<int>"))
+
+    return let(sizes, chunked)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, all else as it is."""
     return F.translate(text, UPPER, LOWER)

@@ -1,16 +1,18 @@
 """Operators that are DataFrame functions only: fingerprints, mixing, secrets, chat, URLs."""
 
 import hashlib
+import math
 import random
 import re
 import string
+import time
 from collections import defaultdict
 
 import pytest
 from compare import check
 from pyspark.sql import functions as F
 
-from quadrant.llm import chat, fingerprints, mixing, registry, secrets, urls
+from quadrant.llm import chat, common, fingerprints, mixing, registry, secrets, urls
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
@@ -144,6 +146,90 @@ def test_battery_finds_random_tokens_and_leaves_words(spark):
     assert sum(got[1000 + k] > 0 for k in range(100)) == 0
 
 
+def brute_battery(token):
+    """(encoding, chi2, z_runs, z_serial) by plain loops; None where one kind of character is all there is."""
+    if sum(bool(re.search(c, token)) for c in ("[0-9]", "[a-z]", "[A-Z]")) < 2:
+        return None
+    for name, alphabet in secrets.ENCODINGS:
+        t = token.translate(str.maketrans("-_", "+/")) if name == "base64" else token
+        if all(c in alphabet for c in t):
+            x, k, n = [alphabet.index(c) for c in t], len(alphabet), len(t)
+            chi2 = sum((x.count(c) - n / k) ** 2 / (n / k) for c in range(k))
+            high = [2 * c >= k for c in x]
+            ones, runs = sum(high), 1 + sum(a != b for a, b in zip(high, high[1:]))
+            mean = 2 * ones * (n - ones) / n + 1
+            var = (mean - 1) * (mean - 2) / (n - 1)
+            avg = sum(x) / n
+            spread = sum((c - avg) ** 2 for c in x)
+            lagged = sum(a * b for a, b in zip(x, x[1:])) - avg * avg * (n - 1)
+            return name, chi2, (runs - mean) / var**0.5 if var > 0 else 99.0, lagged / spread * n**0.5 if spread > 0 else 99.0
+    return None
+
+
+def brute_random(t):
+    """The battery's spans: Benjamini-Hochberg over the text's tokens, then the runs and serial tests."""
+    tested = []
+    for m in re.finditer(secrets.TOKEN, t):
+        b = brute_battery(m[0])
+        if b:
+            k, depart = next((len(a), secrets.departure(a)) for n, a in secrets.ENCODINGS if n == b[0])
+            off = len(m[0]) * depart
+            z = (b[1] - (k - 1 + off)) / (2 * (k - 1) + 4 * off) ** 0.5
+            tested.append((1 / (1 + math.exp(-(1.5976 * z + 0.070566 * z**3))), m.span(), b))
+    ps = sorted(p for p, *_ in tested)
+    bound = max((p for i, p in enumerate(ps) if p <= (i + 1) * secrets.FALSE_RATE / len(ps)), default=-1)
+    return [s for p, s, b in tested if p <= bound and abs(b[2]) < secrets.RANDOM_Z and abs(b[3]) < secrets.RANDOM_Z]
+
+
+def test_running_sums(spark):
+    rng = random.Random(1)
+    rows = [(k, [rng.randint(0, 9) for _ in range(k)]) for k in (0, 1, 2, 3, 4, 5, 10, 99, 100, 101, 1000)]
+    got = {r.k: r.s for r in spark.createDataFrame(rows, "k int, x array<int>").select("k", common.running(F.col("x")).alias("s")).collect()}
+    assert got == {k: [sum(x[: i + 1]) for i in range(k)] for k, x in rows}
+
+
+def test_departures():
+    """Those of uniform text are 0, of one letter the size less 1; the table's shares add up."""
+    assert sum(secrets.LETTERS.values()) == pytest.approx(100, abs=0.5)
+    assert secrets.departure("e") == 0 and secrets.departure("e0123456") == 7
+    square = sum((x / sum(secrets.LETTERS.values())) ** 2 for x in secrets.LETTERS.values())
+    assert secrets.departure(string.ascii_lowercase + string.digits) == pytest.approx(36 * square - 1)
+    mixed = square * (secrets.CAPITALS**2 + (1 - secrets.CAPITALS) ** 2)
+    assert secrets.departure(string.ascii_letters + string.digits + "+/") == pytest.approx(64 * mixed - 1)
+
+
+def test_battery_by_brute_force(spark):
+    rng = random.Random(11)
+    sets = [a for _, a in secrets.ENCODINGS] + ["abc123", "aB", "Internationalization1", "-_aZ09"]
+    rows = [(k, "".join(rng.choices(rng.choice(sets), k=rng.randint(20, 60)))) for k in range(300)] + [(500, "a1" * 15), (501, "a" * 30), (502, "ab-12_" * 5)]
+    got = {r.k: r.b for r in spark.createDataFrame(rows, "k int, t string").select("k", secrets.battery(F.col("t")).alias("b")).collect()}
+    for k, t in rows:
+        want = brute_battery(t)
+        assert (got[k] is None) == (want is None)
+        if want:
+            assert (got[k].encoding, got[k].chi2, got[k].z_runs, got[k].z_serial) == (want[0], *map(pytest.approx, want[1:]))
+
+
+def test_secrets_query(spark, data):
+    """All columns of the query by brute force: base spans, their digest, and the battery's spans among all spans."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    for r in secrets.op4_secrets(spark, data).collect():
+        base = brute_spans(docs[r.doc_id])
+        inside = [tuple(map(int, s.split(":")[1:])) for s in base.split(",") if s]
+        fresh = [s for s in brute_random(docs[r.doc_id]) if not any(a <= s[0] and s[1] <= b for a, b in inside)]
+        assert r.base_sha256 == sha(base) and (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s.startswith(k) for s in base.split(",")) for k in ("assign", "access", "hex"))
+        assert sorted(r.spans.split(",")) == sorted([s for s in base.split(",") if s] + [f"random:{a}:{b}" for a, b in fresh] or [""])
+
+
+def test_dense_texts_take_time_in_proportion(spark):
+    rng = random.Random(1)
+    text = " ".join("".join(rng.choices(string.ascii_letters + string.digits, k=22)) for _ in range(8000))
+    frame = spark.createDataFrame([(1, "warm up"), (2, text)], "doc_id long, text string")
+    began = time.monotonic()
+    assert secrets.scan(frame).where("doc_id = 2 AND size(spans) > 4000").count() == 1
+    assert time.monotonic() - began < 30
+
+
 def test_redact_and_edges(spark, tiny, nothing):
     got = {r.doc_id: r for r in secrets.scan(tiny.withColumn("base", F.lit(1)).drop("base"), keep=["text"]).withColumn("out", secrets.redact(F.coalesce("text", F.lit("")), F.col("spans"))).collect()}
     assert got[10].out.startswith("[SECRET]' und <|endoftext|>") and got[7].out == "word"
@@ -165,11 +251,26 @@ def test_chat_round_trip_of_hostile_texts(spark):
         want[c].append(((t is not None, t or 0), role or "", text or ""))
     for c, turns in want.items():
         assert [(x.role, x.text) for x in got[c].turns] == [x[1:] for x in sorted(turns)]
-        plain = [re.sub(r"\\(\\*)" + chat.CONTROL, r"\1\2", got[c].formatted[s.start : s.end]) if got[c].escaped else got[c].formatted[s.start : s.end] for s in got[c].loss_spans]
+        assert got[c].escaped == any(re.search(chat.CONTROL, t + (r if r not in chat.MARKS else "")) for _, r, t in turns)
+        plain = [re.sub(r"\\(\\*)" + chat.CONTROL, r"\1\2", got[c].formatted[s.start : s.end]) for s in got[c].loss_spans]
         assert plain == [x[2] for x in sorted(turns) if x[1] == "assistant"]
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_sql_agrees_on_hostile_roles(spark, tmp_path):
+    rng = random.Random(8)
+    bits = ["<s>", "</s>", "[INST]", "[TEXT]", "\\", "\n", " ", "a", "[", "\n[/INST]"]
+    rows = [(c, t, rng.choice(["user", "assistant", "system", "tool", None, "<s>", "x\n[TEXT] y"]), "".join(rng.choices(bits, k=rng.randint(0, 4)))) for c in range(200) for t in range(2)]
+    rows += [(900, 0, "<s>", "hi"), (901, 0, "tool", "hi"), (902, 0, "assistant", "\\<s>"), (903, 0, "user", "\\")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    (part,) = tmp_path.glob("conversations.parquet/*.parquet")
+    (tmp_path / "sql").mkdir()
+    part.rename(tmp_path / "sql" / "conversations.parquet")
+    check(spark, chat.op6_chat, chat.SQL, str(tmp_path / "sql"))
+    got = {r.conv_id: r for r in chat.op6_chat(spark, str(tmp_path / "sql")).collect()}
+    assert got[900].escaped and got[900].formatted_chars == 29 and not got[901].escaped and got[902].escaped and not got[903].escaped and got[-7].escaped
+
+
 # urls
 
 
