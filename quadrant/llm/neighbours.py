@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from quadrant.llm.common import table
 
-SAMPLE, DIRECTIONS, FARTHEST = 2000, 256, 32
-LEVELS = (0.1, 0.25, 0.45)
-VERIFY, SPARE = 0.1, 2
+SAMPLE, DIRECTIONS, FARTHEST = 2000, 256, 28
+LEVELS = (0.1, 0.3)
+VERIFY, SPARE = 0.08, 4
 ROWS, QUERIES = 16_384, 16_384
 SEED = 5
 
@@ -48,7 +48,7 @@ class Index:
         self.vectors, self.basis, self.widths = vectors, basis, widths
         more = np.sqrt(np.maximum(longest**2 - (vectors**2).sum(1), 0))
         projected = (np.column_stack([vectors, more]) @ basis).T.copy()
-        self.order = np.argsort(projected, 1, kind="stable").astype(np.int32)
+        self.order = np.argsort(projected, 1, kind="stable")
         self.sorted = np.take_along_axis(projected, self.order, 1)
 
     def collisions(self, queries: np.ndarray):
@@ -61,18 +61,11 @@ class Index:
                 lo[r, j] = np.searchsorted(self.sorted[j], queries[:, j] - w, "left")
                 hi[r, j] = np.searchsorted(self.sorted[j], queries[:, j] + w, "right")
         for k in range(len(queries)):
-            total = np.zeros(n, np.int32)
+            total = np.zeros(n, np.int16)
             for j in used[k]:  # a direction's array holds each row once, so plain indexing adds
-                order, seen = self.order[j], (0, 0)
-                for r in range(len(self.widths)):  # what is new in a window stays in all wider ones
-                    a, b = lo[r, j, k], hi[r, j, k]
-                    times = len(self.widths) - r
-                    if r:
-                        total[order[a : seen[0]]] += times
-                        total[order[seen[1] : b]] += times
-                    else:
-                        total[order[a:b]] += times
-                    seen = (a, b)
+                order = self.order[j]
+                for r in range(len(self.widths)):
+                    total[order[lo[r, j, k] : hi[r, j, k]]] += 1
             yield total
 
     def search(self, ids: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
