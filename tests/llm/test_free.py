@@ -155,27 +155,58 @@ def test_packing_edges(spark, tiny, nothing):
     assert packing.pack(packing.pieces(nothing)).count() == 0
 
 
-def test_islands_join_and_reruns_agree(spark):
+def best_fit_decreasing(size, capacity=4096):
+    bins, free = [], []
+    packing.best_fit(bins, free, sorted(range(len(size)), key=lambda i: -size[i]), size, capacity)
+    return len(bins)
+
+
+def test_cells_join_and_reruns_agree(spark):
     rng = random.Random(4)
     rows = [(k, 0, 0, rng.randint(1, 4000), k) for k in range(3000)]
-    frame = spark.createDataFrame(rows, packing.PIECE)
-    got = packing.pack(frame, island=200).collect()
-    bins, free, size = [], [], [r[3] for r in rows]
-    packing.best_fit(bins, free, sorted(range(3000), key=lambda i: -size[i]), size, 4096)
-    assert packed_well(got) <= 1.02 * len(bins)
+    frame = spark.createDataFrame(rows, packing.PIECE).withColumn("island", F.lit("x"))
+    got = packing.pack(frame, cell=200).collect()
+    assert packed_well(got) <= 1.02 * best_fit_decreasing([r[3] for r in rows])
     key = lambda r: (r.doc_id, r.sequence_id, r.offset)
-    assert sorted(map(key, got)) == sorted(map(key, packing.pack(frame.repartition(7), island=200).collect()))
+    assert sorted(map(key, got)) == sorted(map(key, packing.pack(frame.repartition(7), cell=200).collect()))
+
+
+def test_evolution_beats_best_fit_on_hard_lengths(spark):
+    """Lengths of about two and a half a sequence: fewer sequences than best-fit decreasing, in one cell and over many."""
+    rng = random.Random(1)
+    rows = [(k, 0, 0, rng.randint(900, 2100), k) for k in range(3000)]
+    plain = best_fit_decreasing([r[3] for r in rows])
+    frame = spark.createDataFrame(rows, packing.PIECE)
+    assert packed_well(packing.pack(frame, cell=3000).collect()) < plain
+    assert packed_well(packing.pack(frame, cell=500).collect()) <= plain
+
+
+def test_crossovers_decide_on_the_given_data(spark, data):
+    """Every island crosses, and some elite is fitter than its founders, on the driver's own documents."""
+    rest = packing.pieces(spark.read.parquet(f"{data}/documents.parquet")).where("length < 4096").withColumn("island", F.col("doc_id") % 2)
+    rows = packing.islands(rest, 2).collect()
+    assert len(rows) == 2 * packing.DEMES and all(r.crossovers == packing.EPOCHS * packing.GENERATIONS for r in rows)
+    gains = 0
+    for r in rows:
+        size = np.frombuffer(r.size, "<i8").tolist()
+        first = packing.fitness(packing.founders(size, 4096, 0)[0], 4096)
+        assert (-r.bins, r.fill) >= first
+        gains += (-r.bins, r.fill) > first
+    assert gains > 0
 
 
-def test_evolution_never_loses_to_best_fit():
+def test_evolution_never_loses():
     for seed in range(5):
         rng = random.Random(seed)
-        size = [rng.randint(900, 2100) for _ in range(200)]
-        bins, free = [], []
-        packing.best_fit(bins, free, sorted(range(200), key=lambda i: -size[i]), size, 4096)
-        got = packing.evolve(size, 4096, seed)
-        assert sorted(i for b in got for i in b) == list(range(200)) and all(sum(size[i] for i in b) <= 4096 for b in got)
-        assert len(got) <= len(bins)
+        size = sorted((rng.randint(900, 2100) for _ in range(200)), reverse=True)
+        first = packing.founders(size, 4096, seed)
+        got = packing.evolve(first, size, 4096, seed)
+        for bins, free in got:
+            assert sorted(i for b in bins for i in b) == list(range(200)) and free == [4096 - sum(size[i] for i in b) for b in bins] and min(free) >= 0
+            assert packing._read(packing._spelled((bins, free), 200), size, 4096)[1] == free
+        worth = [packing.fitness(x, 4096) for x in got]
+        assert worth == sorted(worth, reverse=True) and worth[0] >= max(packing.fitness(x, 4096) for x in first)
+        assert len(first[0][0]) == best_fit_decreasing(size)
 
 
 # near-duplicates
