@@ -111,9 +111,17 @@ def test_words_equal_the_library():
     pool = string.ascii_letters + "éüñßÇØøœßŁ" + string.digits + ".,!?;:'\"-()"
     new = list({"".join(rng.choices(pool, k=rng.randint(1, 14))) for _ in range(4000)} | {"".join(rng.choices("aeinorst", k=rng.randint(1, 20))) + rng.choice(["", ".", ",", "!!"]) for _ in range(4000)})
     new += ["Σας", "İx", "<|endoftext|>", "x<|endoftext|>.", "é", "ﬁn", "中文字", "日本語。", "x" * 60, "ſ", "ǅ", "'s", "don't", "it's."]
-    words._learn(new)
-    assert [words.known[w] for w in new] == words._library(new)
-    assert sum(bpe.plain(w) is not None for w in new) > 4000
+    new += ["a" * 47 + "é", "É" * 24 + ".", "Ⱥ" * 24, "word" + "!" * 9, "...", "", "a\xa0b", "a\x1cb", "ﬀ", "ǅx,"]
+    import pyarrow as pa
+
+    whole = [" ".join(rng.choices(new, k=40)) for _ in range(50)] + ["", " ", "  lead", "trail \n", "\u2003wide\u2003space"]
+    for texts in (new, whole):
+        got = [ids.tolist() for ids in words.ids(pa.array(texts, pa.string()))]
+        assert got == [e.ids for e in words.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert bpe.plain(pa.array(new))[0].sum() > 4000
+    one_by_one = packing.Words(packing.default_vocabulary())
+    one_by_one.merges = None  # another vocabulary: all by the library
+    assert [ids.tolist() for ids in one_by_one.ids(pa.array(whole))] == got
 
 
 def brute_pieces(rows):
