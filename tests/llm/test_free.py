@@ -316,7 +316,82 @@ def test_scores(spark, data):
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(ws), sum(c[w] > 0 for w in ws), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws))
-        assert r.score < 0
+        size = len((dict(rows)[i]).encode())
+        assert r.score < 0 and r.bits == pytest.approx(-r.score * math.log2(10)) and r.bits_per_byte == pytest.approx(r.bits / max(1, size))
+
+
+def vocabulary_of(n=300, seed=4):
+    """Hashes, and times by class, of n known words, some seen once."""
+    rng = np.random.default_rng(seed)
+    times = np.floor(rng.pareto(0.8, (n, lm_scoring.KINDS)) * (rng.random((n, lm_scoring.KINDS)) < 0.4))
+    times[times.sum(1) == 0, 0] = 1
+    return rng.integers(0, 1 << 64, n, dtype=np.uint64, endpoint=False), times
+
+
+def some_mixer(seed=5):
+    rng = np.random.default_rng(seed)
+    return rng.normal(0.4, 0.1, (lm_scoring.TREE_GATES, lm_scoring.VIEWS)).astype(np.float32), rng.uniform(0.2, 0.8, lm_scoring.TREE_GATES * lm_scoring.BUCKETS)
+
+
+def brute_tree(hashes, times, mixer):
+    """Each word's log10 probability by class, walking down from the root with all words at hand."""
+    out = np.zeros((len(hashes), lm_scoring.KINDS))
+    for w, h in enumerate(hashes.tolist()):
+        for level in range(64):
+            under = [k for k, o in enumerate(hashes.tolist()) if o >> (64 - level) == h >> (64 - level)]
+            if len(under) == 1:
+                break
+            one = [k for k in under if hashes[k].item() >> (63 - level) & 1]
+            zero = [k for k in under if k not in one]
+            if not one or not zero:
+                continue
+            bit = h >> (63 - level) & 1
+            n0, n1 = ([times[ks].sum(), *times[ks].sum(0)] for ks in (zero, one))
+            odds = [math.log((b + 0.4) / (a + 0.4)) for a, b in zip(n0, n1)]
+            for g in range(lm_scoring.KINDS):
+                gate = g * (len(lm_scoring.SEEN) + 1) + sum(n0[g + 1] + n1[g + 1] >= s for s in lm_scoring.SEEN)
+                z = sum(float(a) * b for a, b in zip(mixer[0][gate], odds))
+                slot = min(max(round(z * 2 + lm_scoring.BUCKETS // 2), 0), lm_scoring.BUCKETS - 1)
+                p = (1 / (1 + math.exp(-z)) + mixer[1][gate * lm_scoring.BUCKETS + slot]) / 2
+                out[w, g] += math.log10(p if bit else 1 - p)
+    return out
+
+
+@pytest.mark.parametrize("bits", [0, 3])
+def test_tree_by_brute_force(bits):
+    """The same costs from one bucket or from eight, those of a plain walk; by class, all words together have chance 1."""
+    hashes, times = vocabulary_of()
+    mixer, bucket = some_mixer(), (hashes >> np.uint64(61)).astype(int) if bits else np.zeros(len(hashes), int)
+    top = np.array([times[bucket == b].sum(0) for b in range(1 << bits)])
+    got = np.zeros(times.shape)
+    for b in range(1 << bits):
+        got[bucket == b] = lm_scoring.tree_costs(lm_scoring.Tree(hashes[bucket == b], times[bucket == b], b, top), mixer)
+    assert got == pytest.approx(brute_tree(hashes, times, mixer), abs=1e-6)
+    assert (10**got).sum(0) == pytest.approx(np.ones(lm_scoring.KINDS))
+
+
+def test_next_token_probabilities_sum_to_one():
+    """After any beginning of a text: known words along the tree or spelled, and all else spelled."""
+    import pandas as pd
+
+    hashes, times = vocabulary_of(100)
+    mixer, new = some_mixer(), np.linspace(0.05, 0.3, lm_scoring.KINDS)
+    rng = np.random.default_rng(6)
+    spelled = np.log10(rng.dirichlet(np.ones(101)) * 0.7)  # 101 words take 0.7 of what is spelled, all others 0.3
+    frame = pd.DataFrame({"word": [b"w%d" % k for k in range(101)], "h": np.append(hashes, 7).astype(np.uint64).view(np.int64), "spelled": spelled})
+    frame = frame.assign(c=np.append(times.sum(1), 0), **{x: np.append(times[:, k], 0) for k, x in enumerate(lm_scoring.TIMES)})
+    price = lm_scoring._priced(0, times.sum(0, keepdims=True), mixer, new)(frame)[lm_scoring.PRICES].to_numpy(float)
+    assert (10**price).sum(0) + 0.3 * new == pytest.approx(np.ones(lm_scoring.KINDS), abs=1e-5)
+    shares = times.sum(0) / times.sum()
+    for text in ([], [3], [5, 5, 100, 7], rng.integers(0, 101, 60).tolist()):
+        total = sum(10 ** lm_scoring.mixed(np.append(price[text], [row], 0), shares)[-1] for row in [*price, np.log10(0.3 * new)])
+        assert total == pytest.approx(1, abs=1e-5)
+
+
+def test_scores_whatever_the_partitions(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    a, b = ({r.doc_id: r.score for r in lm_scoring.score(x, lm_scoring.held_out(F.col("doc_id"))).collect()} for x in (docs, docs.repartition(5, "text")))
+    assert a == {i: pytest.approx(s, rel=1e-5) for i, s in b.items()}
 
 
 def test_spelling_is_a_probability():
@@ -382,9 +457,15 @@ def test_two_passes_of_learning():
     class Model:
         value = np.zeros((2, lm_scoring.OFFSETS[-1]), np.float32)
 
-    value = next(iter(lm_scoring._learn(Model)([pd.DataFrame({"word": words, "c": 1})]))).value.to_numpy()
+    value = lm_scoring._learn(Model)(pd.DataFrame({"word": words})).value.to_numpy()
     heard = value[lm_scoring.GATES * lm_scoring.CONTEXTS :][: lm_scoring.GATES]
     assert heard.sum() == 2 * 8 * sum(len(w) + 1 for w in words)
+    hashes, times = vocabulary_of()
+    frame = pd.DataFrame({"h": hashes.view(np.int64), **{x: times[:, k] for k, x in enumerate(lm_scoring.TIMES)}})
+    value = lm_scoring._learn_tree(0, times.sum(0, keepdims=True))(frame).value.to_numpy()
+    weights, heard = value[: lm_scoring.TREE_GATES * lm_scoring.VIEWS], value[lm_scoring.TREE_GATES * lm_scoring.VIEWS :][: lm_scoring.TREE_GATES]
+    bits = sum(times[rows].sum(1)[times[rows].sum(1) > 1].sum() for rows, *_ in [(np.arange(len(hashes))[t.order][r], z) for t in [lm_scoring.Tree(hashes, times, 0, times.sum(0, keepdims=True))] for r, z, _, _ in t.nodes()])
+    assert heard.sum() == 2 * bits and np.abs(weights - (lm_scoring._tree_first() * heard[:, None]).ravel()).max() > 0
 
 
 def test_scores_beat_the_base_on_new_texts(spark):
