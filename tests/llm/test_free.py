@@ -328,6 +328,18 @@ def vocabulary_of(n=300, seed=4):
     return rng.integers(0, 1 << 64, n, dtype=np.uint64, endpoint=False), times
 
 
+def packed(words, hashes, times):
+    """The share of these words, packed and read back; words must be in order or of one length."""
+    import pandas as pd
+
+    frame = pd.DataFrame({"word": words, "h": hashes.astype(np.uint64).view(np.int64), "share": 0, **{x: times[:, k].astype(int) for k, x in enumerate(lm_scoring.TIMES)}})
+    share = lm_scoring.Share(next(lm_scoring._pack(frame).itertuples(index=False)))
+    place = {w: k for k, w in enumerate(share.words)}
+    at = [place[w] for w in words]
+    share.words, share.hashes, share.times, share.count = words, share.hashes[at], share.times[at], share.count[at]
+    return share
+
+
 def some_mixer(seed=5):
     rng = np.random.default_rng(seed)
     return rng.normal(0.4, 0.1, (lm_scoring.TREE_GATES, lm_scoring.VIEWS)).astype(np.float32), rng.uniform(0.2, 0.8, lm_scoring.TREE_GATES * lm_scoring.BUCKETS)
@@ -372,15 +384,12 @@ def test_tree_by_brute_force(bits):
 
 def test_next_token_probabilities_sum_to_one():
     """After any beginning of a text: known words along the tree or spelled, and all else spelled."""
-    import pandas as pd
-
     hashes, times = vocabulary_of(100)
     mixer, new = some_mixer(), np.linspace(0.05, 0.3, lm_scoring.KINDS)
     rng = np.random.default_rng(6)
     spelled = np.log10(rng.dirichlet(np.ones(101)) * 0.7)  # 101 words take 0.7 of what is spelled, all others 0.3
-    frame = pd.DataFrame({"word": [b"w%d" % k for k in range(101)], "h": np.append(hashes, 7).astype(np.uint64).view(np.int64), "spelled": spelled})
-    frame = frame.assign(c=np.append(times.sum(1), 0), **{x: np.append(times[:, k], 0) for k, x in enumerate(lm_scoring.TIMES)})
-    price = lm_scoring._priced(0, times.sum(0, keepdims=True), mixer, new)(frame)[lm_scoring.PRICES].to_numpy(float)
+    share = packed([b"w%d" % k for k in range(101)], np.append(hashes, 7), np.append(times, np.zeros((1, lm_scoring.KINDS)), 0))
+    price = lm_scoring.priced(share, spelled, 0, times.sum(0, keepdims=True), mixer, new)
     assert (10**price).sum(0) + 0.3 * new == pytest.approx(np.ones(lm_scoring.KINDS), abs=1e-5)
     shares = times.sum(0) / times.sum()
     for text in ([], [3], [5, 5, 100, 7], rng.integers(0, 101, 60).tolist()):
@@ -396,15 +405,13 @@ def test_scores_whatever_the_partitions(spark, data):
 
 def test_spelling_is_a_probability():
     """The costs of all 256 next bytes, whatever the model, sum to 1; and words cost alike alone and in a batch."""
-    import pandas as pd
-
     rng = np.random.default_rng(1)
 
     class Model:
         value = rng.integers(0, 50, (2, lm_scoring.OFFSETS[-1])).astype(np.float32)
 
     mixer = (rng.normal(0.3, 0.1, (lm_scoring.GATES, lm_scoring.CONTEXTS)).astype(np.float32), rng.uniform(0.1, 0.9, 256 * lm_scoring.BUCKETS))
-    cost = lambda words: next(iter(lm_scoring._cost(Model, mixer)([pd.DataFrame({"word": words})]))).spelled.to_numpy()
+    cost = lambda words: lm_scoring.spelling_costs(Model.value, mixer, words)
     bytes_ = [bytes([k]) for k in range(256)]
     words = [b"", b"a", b"ab", b"abc", b"abd", b"b" * 100, "é".encode(), b"abc"]
     assert cost(words) == pytest.approx([cost([w])[0] for w in words])
@@ -450,22 +457,19 @@ def test_contexts_are_of_whole_words():
 
 
 def test_two_passes_of_learning():
-    import pandas as pd
-
     words = [b"alpha", b"beta", b"y" * 100]
-
-    class Model:
-        value = np.zeros((2, lm_scoring.OFFSETS[-1]), np.float32)
-
-    value = lm_scoring._learn(Model)(pd.DataFrame({"word": words})).value.to_numpy()
+    seen = np.zeros((2, lm_scoring.OFFSETS[-1]), np.float32)
+    steps = list(lm_scoring._spelling_steps(seen, words))
+    value = lm_scoring._online(steps, np.full((lm_scoring.GATES, lm_scoring.CONTEXTS), 0.3, np.float32), lm_scoring.RATE, 256).value.to_numpy()
     heard = value[lm_scoring.GATES * lm_scoring.CONTEXTS :][: lm_scoring.GATES]
     assert heard.sum() == 2 * 8 * sum(len(w) + 1 for w in words)
     hashes, times = vocabulary_of()
-    frame = pd.DataFrame({"h": hashes.view(np.int64), **{x: times[:, k] for k, x in enumerate(lm_scoring.TIMES)}})
-    value = lm_scoring._learn_tree(0, times.sum(0, keepdims=True))(frame).value.to_numpy()
+    tree = lm_scoring.Tree(hashes, times, 0, times.sum(0, keepdims=True))
+    value = lm_scoring._online(list(lm_scoring._tree_steps(tree)), lm_scoring._tree_first(), lm_scoring.TREE_RATE, lm_scoring.TREE_GATES).value.to_numpy()
     weights, heard = value[: lm_scoring.TREE_GATES * lm_scoring.VIEWS], value[lm_scoring.TREE_GATES * lm_scoring.VIEWS :][: lm_scoring.TREE_GATES]
-    bits = sum(times[rows].sum(1)[times[rows].sum(1) > 1].sum() for rows, *_ in [(np.arange(len(hashes))[t.order][r], z) for t in [lm_scoring.Tree(hashes, times, 0, times.sum(0, keepdims=True))] for r, z, _, _ in t.nodes()])
-    assert heard.sum() == 2 * bits and np.abs(weights - (lm_scoring._tree_first() * heard[:, None]).ravel()).max() > 0
+    count = tree.times.sum(1)
+    assert heard.sum() == 2 * sum(count[rows][count[rows] > 1].sum() for rows, *_ in tree.nodes())
+    assert np.abs(weights - (lm_scoring._tree_first() * heard[:, None]).ravel()).max() > 0
 
 
 def test_scores_beat_the_base_on_new_texts(spark):
