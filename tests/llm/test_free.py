@@ -408,7 +408,7 @@ def test_spelling_is_a_probability():
     rng = np.random.default_rng(1)
 
     class Model:
-        value = rng.integers(0, 50, (2, lm_scoring.OFFSETS[-1])).astype(np.float32)
+        value = rng.integers(0, 50, (lm_scoring.OFFSETS[-1], 2)).astype(np.float32)
 
     mixer = (rng.normal(0.3, 0.1, (lm_scoring.GATES, lm_scoring.CONTEXTS)).astype(np.float32), rng.uniform(0.1, 0.9, 256 * lm_scoring.BUCKETS))
     cost = lambda words: lm_scoring.spelling_costs(Model.value, mixer, words)
@@ -441,7 +441,7 @@ def test_contexts_are_of_whole_words():
             for o, c in enumerate([0, *(int.from_bytes(w[max(0, i - k) : i], "big") for k in (1, 2, 3, 4)), prefix]):
                 h = ((((c + o) * golden) & mask) ^ 1) * int(lm_scoring.MULTIPLIERS[o]) & mask
                 h ^= h >> 29
-                slots.append(((h * golden & mask) >> (64 - lm_scoring.SLOT_BITS[o])) + int(lm_scoring.OFFSETS[o]))
+                slots.append(((h * golden & mask) >> (68 - lm_scoring.SLOT_BITS[o])) * 16 + 1 + int(lm_scoring.OFFSETS[o]))
             want[w[: i + 1]] = tuple(slots)  # once for each beginning
             prefix = (prefix ^ (w[i] + 1)) * golden & mask
             prefix ^= prefix >> 27
@@ -458,7 +458,7 @@ def test_contexts_are_of_whole_words():
 
 def test_two_passes_of_learning():
     words = [b"alpha", b"beta", b"y" * 100]
-    seen = np.zeros((2, lm_scoring.OFFSETS[-1]), np.float32)
+    seen = np.zeros((lm_scoring.OFFSETS[-1], 2), np.float32)
     steps = list(lm_scoring._spelling_steps(seen, words))
     value = lm_scoring._online(steps, np.full((lm_scoring.GATES, lm_scoring.CONTEXTS), 0.3, np.float32), lm_scoring.RATE, 256).value.to_numpy()
     heard = value[lm_scoring.GATES * lm_scoring.CONTEXTS :][: lm_scoring.GATES]
