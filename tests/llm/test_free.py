@@ -329,14 +329,17 @@ def vocabulary_of(n=300, seed=4):
 
 
 def packed(words, hashes, times):
-    """The share of these words, packed and read back; words must be in order or of one length."""
+    """The share of these words from two blocks, packed and read back; given hashes for their own."""
     import pandas as pd
 
-    frame = pd.DataFrame({"word": words, "h": hashes.astype(np.uint64).view(np.int64), "share": 0, **{x: times[:, k].astype(int) for k, x in enumerate(lm_scoring.TIMES)}})
-    share = lm_scoring.Share(next(lm_scoring._pack(frame).itertuples(index=False)))
-    place = {w: k for k, w in enumerate(share.words)}
-    at = [place[w] for w in words]
-    share.words, share.hashes, share.times, share.count = words, share.hashes[at], share.times[at], share.count[at]
+    squeeze = lambda x: zlib.compress(np.ascontiguousarray(x).tobytes())
+    half = (times // 2).astype("<i8")
+    blocks = [{"share": 0, "block": b, "words": zlib.compress(b" ".join(words)), "times": squeeze(t), "idx": squeeze(np.arange(len(words), dtype="<i4"))} for b, t in ((5, half), (6, times.astype("<i8") - half))]
+    row = next(lm_scoring._merge(pd.DataFrame(blocks)).itertuples(index=False))
+    share = lm_scoring.Share(row)
+    own = np.frombuffer(zlib.decompress(row.own), "<i4").reshape(2, -1)
+    assert sorted(words) == share.words and (own[0] == own[1]).all() and [share.words[i] for i in own[0]] == words and (share.times[own[0]] == times).all()
+    share.words, share.hashes, share.times, share.count = words, hashes.astype(np.uint64), share.times[own[0]], share.count[own[0]]
     return share
 
 
