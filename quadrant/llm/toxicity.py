@@ -1,9 +1,14 @@
 """Toxicity by a counterfactually regularised classifier.
 
 A text's features are the presence of its words and of their beginnings, so a stem counts under any ending. Counts over
-the labelled sample choose the features that tell the classes apart; a logistic regression is fitted on those. For every
-labelled text that names a group, the same text with the name swapped is made, and the square of the change in its
-score is part of the loss: a group's name alone then moves no score, and neutral mentions stay neutral.
+the labelled sample choose the features that tell the classes apart, and those of identity terms; a logistic regression is
+fitted on them. For every labelled text that holds an identity term, the same text with its terms swapped is made, and the
+square of the change in its log odds is part of the loss: a term alone then moves no score, and neutral mentions stay
+neutral.
+
+Identity terms are those of IDENTITIES, and what the sample itself shows to be alike: words that many texts hold, toxic or
+not, and that stand among the same other words, so that one may stand for the other. That gives pairs in whatever
+languages the texts are.
 
 The fit uses at most SAMPLE labelled rows, those with the least hash of their id. Scoring covers all rows, one by one.
 """
@@ -27,6 +32,9 @@ LEAST_CHI2, CHOSEN = 20.0, 8192
 RIDGE, COUNTERFACTUAL, STEPS = 1e-4, 1.0, 400
 #: Groups of names that may stand for each other; the last of each is neutral.
 IDENTITIES = (("women", "men", "girls", "boys", "people"), ("woman", "man", "girl", "boy", "person"), ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist", "religious"), ("black", "white", "asian", "latino", "african", "european"), ("gay", "lesbian", "straight", "transgender", "bisexual", "single"), ("immigrants", "refugees", "foreigners", "natives", "residents"), ("disabled", "deaf", "blind", "elderly", "young", "adult"))
+#: Learned terms: at most so many, each in so large a share of the sample, of a chi-squared below this; how alike a pair's
+#: company must be (cosine), and how many times as frequent one may be.
+TERMS, LEAST_SHARE, NEUTRAL_CHI2, ALIKE, RATIO = 128, 0.01, 1.0, 0.9, 2.0
 CACHE = 400_000
 LETTERS = bytes.maketrans(bytes(range(65, 91)) + b"".join(bytes([c]) for c in range(128) if not chr(c).isalnum()), bytes(range(97, 123)) + b" " * sum(not chr(c).isalnum() for c in range(128)))
 
@@ -42,13 +50,88 @@ def slots_of(word: bytes) -> tuple[int, ...]:
     return tuple(xxhash.xxh3_64_intdigest(x) % SLOTS for x in names)
 
 
-def swapped(words: set[bytes], identities=IDENTITIES) -> set[bytes] | None:
-    """words with every group's name turned into the next of its group; None if there are none."""
-    turn = {a.encode(): b.encode() for group in identities for a, b in zip(group, group[1:] + group[:1], strict=True)}
+def turns(identities) -> dict[bytes, bytes]:
+    """Each term's successor in its group; where groups share a term, the first counts."""
+    out: dict[bytes, bytes] = {}
+    for group in identities:
+        for a, b in zip(group, group[1:] + group[:1], strict=True):
+            out.setdefault(a.encode(), b.encode())
+    return out
+
+
+def swapped(words: set[bytes], turn: dict[bytes, bytes]) -> set[bytes] | None:
+    """words with every identity term turned into its successor; None if there are none."""
     found = words & turn.keys()
     return (words - found) | {turn[w] for w in found} if found else None
 
 
+def _frequent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How many clean and toxic rows hold each word."""
+    seen: dict[bytes, list[int]] = {}
+    for pdf in batches:
+        for text, toxic in zip(pdf.text, pdf.toxic, strict=True):
+            for w in words_of(text):
+                seen.setdefault(w, [0, 0])[int(toxic)] += 1
+            if len(seen) > CACHE:
+                yield _listed(seen)
+                seen = {}
+    yield _listed(seen)
+
+
+def _listed(seen) -> pd.DataFrame:
+    n = np.array(list(seen.values()), np.int64).reshape(-1, 2)
+    return pd.DataFrame({"word": list(seen), "clean": n[:, 0], "toxic": n[:, 1]})
+
+
+def _company(terms: list[bytes]):
+    """In how many rows each pair of terms stands together."""
+    index = {w: k for k, w in enumerate(terms)}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        together = np.zeros((len(terms), len(terms)), np.int64)
+        for pdf in batches:
+            for text in pdf.text:
+                at = [index[w] for w in words_of(text) & index.keys()]
+                together[np.ix_(at, at)] += 1
+        a, b = np.nonzero(together)
+        yield pd.DataFrame({"a": a.astype("int32"), "b": b.astype("int32"), "n": together[a, b]})
+
+    return run
+
+
+def _chi2(a0: Column, a1: Column, n: float, pos: float) -> Column:
+    have = a0 + a1
+    gap = a1 * n - have * pos
+    return F.when((have > 0) & (have < n), gap * gap / (have * (n - have)) * n / (pos * (n - pos) or 1.0)).otherwise(0.0)
+
+
+def alike_terms(sample: DataFrame, n: float, pos: float) -> tuple[tuple[str, str], ...]:
+    """Pairs of frequent, class-neutral words of the sample (text, toxic) that stand in like company, most frequent first."""
+    words = sample.mapInPandas(_frequent, "word binary, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("a0"), F.sum("toxic").alias("a1"))
+    enough = words.withColumn("have", F.col("a0") + F.col("a1")).where((F.col("have") >= max(4.0, LEAST_SHARE * n)) & (F.length("word") >= 2) & (_chi2(F.col("a0"), F.col("a1"), n, pos) < NEUTRAL_CHI2))
+    rows = enough.orderBy(F.desc("have"), "word").limit(TERMS).select("word", "have").collect()
+    terms, have = [bytes(r.word) for r in rows], np.array([r.have for r in rows], float)
+    if len(terms) < 2:
+        return ()
+    together = np.zeros((len(terms), len(terms)))
+    for r in sample.mapInPandas(_company(terms), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():  # at most TERMS^2 rows
+        together[r.a, r.b] = r.n
+    share = together / have[:, None]
+    np.fill_diagonal(share, 0)  # a word's company are the others
+    length = np.sqrt((share**2).sum(1))
+    cosine = share @ share.T / np.maximum(np.outer(length, length), 1e-12)
+    pairs, free = [], set(range(len(terms)))
+    for k in range(len(terms)):
+        if k in free:
+            free.discard(k)
+            near = [(-cosine[k, j], j) for j in free if cosine[k, j] >= ALIKE and have[k] <= RATIO * have[j]]
+            if near:
+                j = min(near)[1]
+                free.discard(j)
+                pairs.append((terms[k].decode("utf-8", "replace"), terms[j].decode("utf-8", "replace")))
+    return tuple(pairs)
+
+
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows with each feature by class; the table of slots bounds memory and rows."""
     seen = np.zeros((2, SLOTS), np.int32)
@@ -59,14 +142,14 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"slot": slot.astype("int32"), "clean": seen[0, slot].astype("int64"), "toxic": seen[1, slot].astype("int64")})
 
 
-def _chosen(chosen: np.ndarray, identities):
+def _chosen(chosen: np.ndarray, turn: dict[bytes, bytes]):
     index = {int(s): k for k, s in enumerate(chosen)}
     pick = lambda words: sorted({index[s] for w in words for s in slots_of(w) if s in index})
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             words = [words_of(t) for t in pdf.text]
-            other = [swapped(w, identities) for w in words]
+            other = [swapped(w, turn) for w in words]
             yield pd.DataFrame({"doc_id": pdf.doc_id, "toxic": pdf.toxic, "x": [pick(w) for w in words], "other": [None if o is None else pick(o) for o in other]})
 
     return features
@@ -98,8 +181,12 @@ def fit(rows: pd.DataFrame, n: int) -> tuple[np.ndarray, float]:
     return theta[:n], float(theta[n])
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, identities=IDENTITIES) -> tuple[dict[int, float], float]:
-    """(weight by slot, intercept) from the labelled rows for which learn (over doc_id) holds."""
+def prepare(docs: DataFrame, labels: DataFrame, learn: Column, identities=IDENTITIES) -> tuple[np.ndarray, pd.DataFrame]:
+    """(chosen slots, rows: doc_id, toxic, x, other) of the labelled rows for which learn (over doc_id) holds.
+
+    x: the chosen features of each text; other: those after the swap, null where nothing can be swapped. A label that
+    occurs twice counts as toxic if one of them is; null labels, and labels without a text, are left out.
+    """
     few = labels.where(learn & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     few = few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select(F.col("doc_id").alias("l_id"), (F.col("toxic") > 0).cast("int").alias("toxic"))
     # at most SAMPLE rows of two numbers, so it may be broadcast
@@ -107,12 +194,18 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, identities=IDENTITI
     size = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("pos")).first()
     counts = sample.mapInPandas(_counts, "slot int, clean long, toxic long").groupBy("slot").agg(F.sum("clean").alias("a0"), F.sum("toxic").alias("a1"))
     n, pos = float(size.n), float(size.pos)
-    have = F.col("a0") + F.col("a1")
-    gap = F.col("a1") * n - have * pos
-    chi2 = F.when((have > 0) & (have < n), gap * gap / (have * (n - have)) * n / (pos * (n - pos) or 1.0)).otherwise(0.0)
-    best = counts.withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "slot").limit(CHOSEN)
-    chosen = np.array(sorted(r.slot for r in best.select("slot").collect()), int)
-    rows = sample.mapInPandas(_chosen(chosen, identities), "doc_id long, toxic int, x array<int>, other array<int>").toPandas()
+    best = counts.withColumn("chi2", _chi2(F.col("a0"), F.col("a1"), n, pos)).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "slot").limit(CHOSEN)
+    turn = turns(identities + alike_terms(sample, n, pos))
+    chosen = np.array(sorted({r.slot for r in best.select("slot").collect()} | {s for w in turn for s in slots_of(w)}), int)
+    return chosen, sample.mapInPandas(_chosen(chosen, turn), "doc_id long, toxic int, x array<int>, other array<int>").toPandas()
+
+
+def train(docs: DataFrame, labels: DataFrame, learn: Column, identities=IDENTITIES) -> tuple[dict[int, float], float]:
+    """(weight by slot, intercept) from the labelled rows for which learn (over doc_id) holds.
+
+    Repeated rows of docs count each; null or empty texts have no features. No labelled row: all scores are a half.
+    """
+    chosen, rows = prepare(docs, labels, learn, identities)
     weights, bias = fit(rows, len(chosen))
     return {int(s): float(w) for s, w in zip(chosen, weights, strict=True)}, bias
 

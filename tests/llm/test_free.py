@@ -511,7 +511,36 @@ def insults(n=600, seed=7):
     return rows, labels
 
 
-def test_held_out_accuracy(spark, data):
+def test_counterfactuals_on_the_given_data(spark, monkeypatch):
+    """Real documents are swapped, and what a swap moves falls by the counterfactual term."""
+    data = "/root/testdata/sf0.01"
+    docs, marks = (spark.read.parquet(f"{data}/{x}.parquet") for x in ("documents", "labels"))
+    chosen, rows = toxicity.prepare(docs, marks.select("doc_id", "toxic"), ~toxicity.held_out(F.col("doc_id")))
+    pairs = [(set(a), set(b)) for a, b in zip(rows.x, rows.other) if b is not None]
+    assert len(pairs) > 0.5 * len(rows) and sum(a != b for a, b in pairs) > 0.5 * len(pairs)
+
+    def change():
+        w, _ = toxicity.fit(rows, len(chosen))
+        return np.mean([abs(w[list(a - b)].sum() - w[list(b - a)].sum()) for a, b in pairs])
+
+    fair = change()
+    monkeypatch.setattr(toxicity, "COUNTERFACTUAL", 0.0)
+    assert fair < 0.5 * change()
+
+
+def test_toxicity_query(spark):
+    """The query's columns, and recall and false alarms on labels that it hasn't seen."""
+    data = "/root/testdata/sf0.1"
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    got = {r.doc_id: r for r in toxicity.op10_toxicity(spark, data).collect()}
+    assert len(got) == spark.read.parquet(f"{data}/documents.parquet").count()
+    for i, r in got.items():
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
+    seen = [(truth[i], r.predicted) for i, r in got.items() if r.held_out and i in truth]
+    assert sum(p for t, p in seen if t) >= 0.85 * sum(t for t, _ in seen) and sum(p for t, p in seen if not t) <= 0.02 * sum(1 - t for t, _ in seen)
+
+
+def test_held_out_accuracy(spark):
     rows, labels = insults()
     docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
     model = toxicity.train(docs, marks, ~toxicity.held_out(F.col("doc_id")))
@@ -523,7 +552,7 @@ def test_held_out_accuracy(spark, data):
 def test_counterfactual_loss_keeps_names_neutral(spark, monkeypatch):
     rows, labels = insults()
     docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
-    mention = spark.createDataFrame([(1, "table women river"), (2, "table people river")], "doc_id long, text string")
+    mention = spark.createDataFrame([(1, "table women river"), (2, "table men river")], "doc_id long, text string")
 
     def gap():
         a, b = (r.score for r in toxicity.score(mention, toxicity.train(docs, marks, F.lit(True))).orderBy("doc_id").collect())
