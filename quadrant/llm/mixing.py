@@ -16,6 +16,7 @@ from quadrant.llm.common import WORD, table, written
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 LEVEL_BITS, LEVELS = 10, 3
+FEW_SOURCES = 100_000  # rows of five numbers and a name, which may be broadcast
 
 
 def word_count(text: Column) -> Column:
@@ -84,16 +85,20 @@ def mix(docs: DataFrame, size: Column | None = None, weights=WEIGHTS, share: flo
     """
     named = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")))
     hashed = F.shiftright(F.conv(F.substring(named, 1, 8), 16, 10).cast("long"), 32 - LEVELS * LEVEL_BITS)
-    sized = docs.select("doc_id", "source", (word_count(F.col("text")) if size is None else size).cast("long").alias("size"), hashed.alias("hash"), *(keep or []))
-    sized = written(sized, "mix-sizes")
+    measured = ["doc_id", "source", (word_count(F.col("text")) if size is None else size).cast("long").alias("size"), hashed.alias("hash")]
+    sized = written(docs.select(*measured), "mix-sizes")
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     budgets = targets(by_source, weights, share, most)
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(0)
     budgets = written(budgets.withColumn("whole", whole.cast("long")).withColumn("need", F.col("target") - F.col("whole") * F.col("source_size")), "mix-budgets")
     bounds = _threshold(sized.select("source", "size", "hash"), budgets)
     per = budgets.join(bounds.withColumnRenamed("source", "s"), budgets.source.eqNullSafe(F.col("s")))
-    per = per.select(F.col("source").alias("per_source"), "source_size", "target", "whole", "bound")
-    out = sized.join(per, sized.source.eqNullSafe(per.per_source))
+    per = written(per.select(F.col("source").alias("per_source"), "source_size", "target", "whole", "bound"), "mix-sources")
+    if per.count() <= FEW_SOURCES:  # else they are joined by a shuffle
+        per = F.broadcast(per)
+    # texts go through no table: what was measured of them is measured again, where it is asked for
+    out = docs.select(*measured, *keep) if keep else sized
+    out = out.join(per, out.source.eqNullSafe(F.col("per_source")))
     copies = F.least(F.col("whole") + F.when(F.col("hash") < F.col("bound"), 1).otherwise(0), F.lit(most)).cast("long")
     return out.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(keep or []))
 
