@@ -595,9 +595,28 @@ def test_stages_and_columns(spark, data):
 
 
 def test_pipeline_edges(spark, tiny, nothing, data):
-    for docs in (tiny.withColumn("size", F.lit(1)), nothing):
+    clash = {c: F.lit(77) for c in ("size", "score", "base", "spans", "hash", "target", "source_size", "taken", "copies", "copy", "redacted", "kept", "found", "scan_text", "a.b`c", "column 1")}
+    for docs in (tiny.withColumns(clash), nothing):
         seen = docs
-        for _, stage in corpus_pipeline.STAGES[:-1]:
-            seen = stage(spark, seen, data)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            seen = corpus_pipeline.written(stage(spark, seen, data), f"test-{name}")
             assert seen.columns == docs.columns
+            assert all(r[c] == 77 for r in seen.collect() for c in clash if c in seen.columns)
         assert corpus_pipeline.STAGES[-1][1](spark, seen, data).count() >= 0
+
+
+def test_repeated_rows_leave_one(spark, tiny):
+    rows = tiny.unionByName(tiny).unionByName(tiny.where("doc_id = 11").withColumn("text", F.lit("another text under the same id")))
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, rows, "").collect())
+    assert 2 not in {i for i, _ in got} and all(n == 1 for (i, _), n in got.items() if i is not None)
+    assert sum(n for (i, _), n in got.items() if i == 11) == 2 and sum(n for (i, _), n in got.items() if i is None) == 2
+
+
+def test_pipeline_run(spark, data):
+    """run() is its stages one after another."""
+    got = corpus_pipeline.run(spark, data)
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    rows = got.collect()
+    assert {r.doc_id for r in rows} <= docs.keys() and len({r.doc_id for r in rows}) > 0.5 * len(docs)
+    packed_well(rows)
+    assert len(rows) == len({(r.sequence_id, r.offset) for r in rows})
