@@ -1,9 +1,15 @@
 """Document fingerprints from closed syncmers.
 
-A k-mer is K words in a row. Its inner substrings are the K-S+1 runs of S words; it is a closed syncmer if the least
-hash among them is at an edge, the first or the last. Whether a k-mer is one depends on nothing but itself, so an edit
-moves no anchors outside the k-mers that it touches. The fingerprint is the KEEP least distinct syncmer hashes: a
-bottom-k sketch, of fixed size however long the text, and the whole set for texts with fewer.
+A k-mer is K characters in a row. Its inner substrings are the K-S+1 runs of S characters; it is a closed syncmer if the
+least hash among them is that of the first or the last. Whether a k-mer is one depends on nothing but itself, so an edit
+moves no anchors but those of k-mers that it touches, in texts with or without spaces, and 2 in K-S+1 k-mers are anchors
+whatever the text.
+
+The fingerprint is all anchors in order, each with its distance to the next one: positions, but for where the text begins.
+Two texts match at an anchor if both have it at the same distance from the same next anchor, so a passage matches wherever
+it stands, and its characters only in their order. Hashes of runs of 2, 4 and 8 characters come from those half as long,
+and minima over 2, 4, 8 and 16 places likewise, all in arrays. Long texts are walked in chunks of CHUNK characters, which
+changes nothing: an anchor belongs to the chunk where its k-mer starts.
 """
 
 from __future__ import annotations
@@ -13,68 +19,91 @@ from pyspark.sql import functions as F
 
 from quadrant.llm.common import WORD, let, table
 
-K, S, KEEP = 4, 2, 128
+S, WINDOW = 8, 16
+K = S + WINDOW - 1
+CHUNK = 1 << 15
 #: Rows a bucket of neighbouring ids, and the most buckets; the table with a row a bucket is broadcast, so this bounds it.
-BUCKET_ROWS, MOST_BUCKETS = 256, 1 << 20
+BUCKET_ROWS, MOST_BUCKETS, CUTS = 256, 1 << 20, 1024
+ANCHORS = "array<struct<position:int,hash:bigint>>"
 
 
-def _anchors(inner: Column, n: Column) -> Column:
-    """Hash of each k-mer that is a closed syncmer, null for others. inner: hashes of the inner substrings; n: k-mers.
+def _shifted(values: Column, by: int, join) -> Column:
+    """join(values[i], values[i + by]) for each i that has both."""
+    return let(values, lambda v: let(F.greatest(F.size(v) - by, F.lit(0)), lambda n: F.zip_with(F.slice(v, 1, n), F.slice(v, by + 1, n), join)))
 
-    K - S + 1 = 3 inner substrings start in a k-mer, and the outer two hold all of its words.
-    """
-    edges = F.zip_with(F.slice(inner, 1, n), F.slice(inner, K - S + 1, n), lambda a, c: F.struct(F.least(a, c).alias("least"), F.xxhash64(a, c).alias("mer")))
-    return F.zip_with(edges, F.slice(inner, 2, n), lambda e, b: F.when(b >= e["least"], e["mer"]))
+
+def _anchors(text: Column) -> Column:
+    """ANCHORS of a text of K characters or more, in order."""
+    hashes = F.transform(F.split(text, ""), lambda c: F.xxhash64(c))
+    for by in (1, 2, 4):
+        hashes = _shifted(hashes, by, lambda a, b: F.xxhash64(a, b))
+
+    def of(inner: Column) -> Column:
+        least = inner
+        for by in (1, 2, 4, 8):
+            least = _shifted(least, by, lambda a, b: F.least(a, b))
+        edges = _shifted(inner, WINDOW - 1, lambda a, b: F.struct(F.least(a, b).alias("least"), a.alias("first"), b.alias("last")))
+        # first, middle and last run together hold all K characters
+        marked = F.zip_with(edges, least, lambda e, m: F.when(e["least"] == m, e))
+        placed = F.transform(marked, lambda e, i: F.when(e.isNotNull(), F.struct(i.alias("position"), F.xxhash64(e["first"], F.element_at(inner, i + WINDOW // 2 + 1), e["last"]).alias("hash"))))
+        return F.array_compact(placed)
+
+    return let(hashes, of)
 
 
 def syncmers(text: Column) -> Column:
-    """array<struct<hash, position>>: the closed syncmers in order, position being that of the first word (from 0)."""
-    words = F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
-    inner = let(words, lambda h: F.zip_with(F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0))), F.slice(h, 2, F.greatest(F.size(h) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b)))
-    placed = let(inner, lambda s: F.transform(_anchors(s, F.greatest(F.size(s) - 2, F.lit(0))), lambda m, i: F.struct(m.alias("hash"), i.alias("position"))))
-    return F.filter(placed, lambda p: p["hash"].isNotNull())
+    """ANCHORS: the closed syncmers in order, position being that of the first character (from 0). Null: null."""
+
+    def chunk(i: Column) -> Column:
+        return let(F.substring(text, i * CHUNK + 1, F.lit(CHUNK + K - 1)), lambda t: F.when(F.length(t) >= K, F.transform(_anchors(t), lambda a: F.struct((a["position"] + i * CHUNK).alias("position"), a["hash"].alias("hash")))).otherwise(F.array().cast(ANCHORS)))
+
+    last = F.floor(F.greatest(F.length(text) - K, F.lit(0)) / CHUNK).cast("int")
+    return F.flatten(F.transform(F.sequence(F.lit(0), last), chunk))
 
 
 def sketch(text: Column) -> Column:
-    """The KEEP least distinct syncmer hashes (32 bits), ascending. No syncmer, as in texts of fewer than K words:
-    the hash of all words. No words: empty."""
+    """array<bigint>: for each anchor, 32 bits of its hash above its distance to the next; 0 for the last one's.
+
+    A text without an anchor, as all of fewer than K characters are: the hash of the whole. Empty text: empty.
+    """
 
-    def of_words(h: Column) -> Column:
-        n = F.size(h)
-        inner = F.zip_with(F.slice(h, 1, n - 1), F.slice(h, 2, n - 1), lambda a, b: F.xxhash64(a, b))
-        found = let(inner, lambda s: F.array_compact(_anchors(s, n - (K - 1))))
-        return F.when(n == 0, F.array().cast("array<bigint>")).when(n < K, F.array(F.xxhash64(h))).otherwise(let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(F.array(F.xxhash64(h)))))
+    def gaps(a: Column) -> Column:
+        n = F.size(a)
+        each = F.zip_with(a, F.slice(a, 2, n), lambda x, y: F.struct(x["hash"].alias("hash"), F.coalesce(y["position"] - x["position"], F.lit(0)).cast("long").alias("gap")))
+        return F.transform(each, lambda x: F.shiftleft(F.shiftrightunsigned(x["hash"], 32), 32).bitwiseOR(x["gap"]))
 
-    words = F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
-    short = F.transform(let(words, of_words), lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)))
-    return F.slice(F.sort_array(F.array_distinct(short)), 1, KEEP)
+    whole = F.array(F.shiftleft(F.shiftrightunsigned(F.xxhash64(text), 32), 32))
+    return F.when(F.length(text) == 0, F.array().cast("array<bigint>")).otherwise(let(syncmers(text), lambda a: F.when(F.size(a) > 0, gaps(a)).otherwise(whole)))
 
 
 def spelled(sketched: Column) -> Column:
-    """A sketch as text, eight hexadecimal digits a hash."""
-    return F.array_join(F.transform(sketched, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+    """A sketch as text: eight hexadecimal digits an anchor, a dash and the distance to the next but for the last one."""
+
+    def one(x: Column) -> Column:
+        gap = x.bitwiseAND(F.lit(0xFFFFFFFF))
+        return F.concat(F.lpad(F.lower(F.hex(F.shiftrightunsigned(x, 32))), 8, "0"), F.when(gap > 0, F.concat(F.lit("-"), gap.cast("string"))).otherwise(F.lit("")))
+
+    return F.array_join(F.transform(sketched, one), " ")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of common hashes among the least KEEP of the union, which estimates (small sets: is) the sets' Jaccard
-    similarity. Two empty sketches: 1; one: 0."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, KEEP)
-    shared = let(union, lambda u: F.size(F.array_intersect(F.array_intersect(u, a), b)) / F.size(u))
+    """Share of anchors matched, with the distance to the next, among the distinct ones of either. Two empty sketches: 1;
+    one: 0."""
+    shared = let(F.size(F.array_intersect(a, b)), lambda n: n / (F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)) - n))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).when(a == b, 1.0).otherwise(shared)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, sketch, next_text, next_sketch: each row with the next by doc_id, then text; the first after the last.
 
-    Ids are cut into buckets of equal width with BUCKET_ROWS rows on average, so every row is shuffled once; each
-    bucket also gets the first row of the next bucket that has any. Null text: empty. Null doc_id: before all others.
+    Ids are cut at quantiles into buckets of BUCKET_ROWS rows on average, so every row is shuffled once, however unevenly
+    the ids lie; each bucket also gets the first row of the next bucket that has any. Rows of one id share a bucket.
+    Null text: empty. Null doc_id: before all others. Repeated rows: each by itself, next to each other. Other columns are
+    dropped. Empty table: empty.
     """
-    span = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    lo, hi = (span.lo, span.hi) if span.lo is not None else (0, 0)
-    buckets = max(1, min(MOST_BUCKETS, span.n // BUCKET_ROWS))
-    width = max(1, -(-(hi - lo + 1) // buckets))
-    key = F.coalesce(F.col("doc_id"), F.lit(lo - 1)).cast("decimal(38,0)") if abs(lo) >= 1 << 62 or abs(hi) >= 1 << 62 else F.coalesce(F.col("doc_id"), F.lit(lo - 1))
-    bucket = F.greatest(F.floor((key - F.lit(lo)) / F.lit(width)), F.lit(0)).cast("long")
+    bucket = _buckets(docs)
+    # null goes before all others: no id has the key that it gets
+    key = F.struct(F.col("doc_id").isNotNull().alias("real"), F.coalesce("doc_id", F.lit(0)).alias("id"))
     x = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), key.alias("key"), bucket.alias("bucket"))
     every = Window.orderBy("bucket")  # a row a bucket, at most MOST_BUCKETS
     first = x.groupBy("bucket").agg(F.min("key").alias("first_key"))
@@ -89,6 +118,28 @@ def with_next(docs: DataFrame) -> DataFrame:
     return x.where(~F.col("guest")).select("doc_id", "text", "sketch", "next_text", "next_sketch")
 
 
+def _buckets(docs: DataFrame) -> Column:
+    """The bucket of a row by its doc_id: quantiles part the ids coarsely, and equal widths within two of them finely."""
+    span = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    parts = min(CUTS, span.n // BUCKET_ROWS)
+    if span.lo is None or parts < 2:
+        return F.lit(0).cast("long")
+    found = docs.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 20 * parts)).first()[0]
+    cuts = sorted({c for c in found if span.lo < c})
+    bounds = F.array(*[F.lit(c).cast("long") for c in [span.lo, *cuts, span.hi]])
+    each = max(1, min(MOST_BUCKETS // (len(cuts) + 1), span.n // (len(cuts) + 1) // BUCKET_ROWS))
+    own = F.coalesce("doc_id", F.lit(span.lo)).cast("long")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
+    # by halving: how many cuts are not above the id
+    coarse = F.aggregate(steps, F.lit(0), lambda at, by: F.when((at + by <= len(cuts)) & (F.element_at(bounds, F.least(at + by, F.lit(len(cuts))) + 1) <= own), at + by).otherwise(at)) if cuts else F.lit(0)
+
+    def fine(c: Column) -> Column:
+        lo, hi = (F.element_at(bounds, c + k).cast("double") for k in (1, 2))
+        return c * each + F.least(F.floor((own.cast("double") - lo) / F.greatest(hi - lo, F.lit(1.0)) * each), F.lit(each - 1)).cast("long")
+
+    return let(coarse, fine).cast("long")
+
+
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts, as the query's contract has it."""
     x = with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))

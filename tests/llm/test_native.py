@@ -26,37 +26,95 @@ def test_query_equals_sql(spark, name, data):
 # fingerprints
 
 
+MASK = (1 << 64) - 1
+
+
+def xx_of(spark, values):
+    """xxhash64 of strings, and of pairs and triples of hashes, by Spark itself."""
+    out = {}
+    for n in {1 if isinstance(v, str) else len(v) for v in values}:
+        some = [v for v in values if (1 if isinstance(v, str) else len(v)) == n]
+        if n == 1:
+            rows = spark.createDataFrame([(v,) for v in some], "a string").select("a", F.xxhash64("a").alias("h")).collect()
+            out |= {r.a: r.h for r in rows}
+        else:
+            names = "abc"[:n]
+            rows = spark.createDataFrame(some, ", ".join(f"{x} long" for x in names)).select(*names, F.xxhash64(*names).alias("h")).collect()
+            out |= {tuple(r[x] for x in names): r.h for r in rows}
+    return out
+
+
+def brute_sketches(spark, texts):
+    """The anchors of each text from every k-mer by itself, as (hash's upper half, distance to the next)."""
+    chars = xx_of(spark, {c for t in texts for c in t})
+    level = {t: [chars[c] for c in t] for t in texts}
+    for by in (1, 2, 4):
+        pairs = {(x[i], x[i + by]) for x in level.values() for i in range(len(x) - by)}
+        known = xx_of(spark, pairs) if pairs else {}
+        level = {t: [known[x[i], x[i + by]] for i in range(len(x) - by)] for t, x in level.items()}
+    found, w = {}, fingerprints.WINDOW
+    for t, x in level.items():
+        found[t] = [(i, (x[i], x[i + w // 2], x[i + w - 1])) for i in range(len(x) - w + 1) if min(x[i : i + w]) in (x[i], x[i + w - 1])]
+    mers = {m for a in found.values() for _, m in a}
+    known = xx_of(spark, mers) if mers else {}
+    whole = xx_of(spark, {t for t in texts if t and not found[t]})
+    out = {}
+    for t, a in found.items():
+        ends = ([i for i, _ in a[1:]] + [None])[: len(a)]
+        out[t] = [((known[m] & MASK) >> 32, (e - i) if e is not None else 0) for (i, m), e in zip(a, ends, strict=True)]
+        if t and not a:
+            out[t] = [((whole[t] & MASK) >> 32, 0)]
+    return out
+
+
+def brute_likeness(a, b):
+    if not a or not b:
+        return float(not a and not b)
+    return 1.0 if a == b else len(set(a) & set(b)) / len(set(a) | set(b))
+
+
 def test_fingerprints_query(spark, data):
+    """Every column by brute force, on whole texts."""
     docs = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{data}/documents.parquet").collect())
     got = {r.doc_id: r for r in fingerprints.op1_fingerprints(spark, data).collect()}
     assert len(got) == len(docs)
-    by_text = defaultdict(set)
-    for k, (i, t) in enumerate(docs):
-        nxt, half = docs[(k + 1) % len(docs)][1], len(t) // 2
-        assert got[i].n_chars == len(t) and got[i].edited_sha256 == sha(t[: len(t) - half] + nxt[:half])
-        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
-        by_text[t].add(got[i].fingerprint)
-    assert all(len(f) == 1 for f in by_text.values())
+    nexts = {i: docs[(k + 1) % len(docs)][1] for k, (i, _) in enumerate(docs)}
+    edited = {i: t[: len(t) - len(t) // 2] + nexts[i][: len(t) // 2] for i, t in docs}
+    for i, t in docs:
+        assert got[i].n_chars == len(t) and got[i].edited_sha256 == sha(edited[i])
+    few = [(i, t) for i, t in docs if len(t) < 4000][:60]
+    want = brute_sketches(spark, {x for i, t in few for x in (t, edited[i], nexts[i]) if len(x) < 12000})
+    text = lambda s: " ".join(f"{h:08x}" + (f"-{g}" if g else "") for h, g in s)
+    assert sum(len(nexts[i]) < 12000 for i, _ in few) > 30
+    for i, t in few:
+        if len(nexts[i]) < 12000:
+            assert (got[i].fingerprint, got[i].edited_fingerprint) == (text(want[t]), text(want[edited[i]]))
+            assert (got[i].near_edited, got[i].near_next) == pytest.approx((brute_likeness(want[t], want[edited[i]]), brute_likeness(want[t], want[nexts[i]])))
     long = [got[i] for i, t in docs if len(t) > 400]
     assert sum(r.near_edited for r in long) / len(long) > 0.25 and sum(r.near_next for r in long) / len(long) < 0.1
 
 
-def test_syncmers_by_brute_force(spark):
-    """Every k-mer whose least inner hash is at an edge, and no other; the same anchors wherever a passage stands."""
+def test_one_changed_character_without_spaces(spark):
     rng = random.Random(1)
-    words = ["".join(rng.choices(string.ascii_lowercase, k=4)) for _ in range(200)]
-    frame = spark.createDataFrame([(0, " ".join(words)), (1, "before this " + " ".join(words[50:120]) + " after")], "k int, text string")
-    inner = spark.createDataFrame([(i, words[i], words[i + 1]) for i in range(199)], "i int, a string, b string").select("i", F.xxhash64(F.xxhash64("a"), F.xxhash64("b")).alias("h"))
-    h = [r.h for r in inner.orderBy("i").collect()]
-    want = [i for i in range(197) if h[i + 1] >= min(h[i], h[i + 2])]
-    got = {r.k: [(x.hash, x.position) for x in r.s] for r in frame.select("k", fingerprints.syncmers(F.col("text")).alias("s")).collect()}
-    assert [p for _, p in got[0]] == want
-    inside = {(x, p - 48) for x, p in got[0] if 50 <= p <= 116}
-    assert inside == {(x, p) for x, p in got[1] if 2 <= p <= 68}
+    a = "".join(rng.choices(string.ascii_lowercase, k=5000))
+    rows = [(0, a, a[:2500] + "#" + a[2501:]), (1, a, a[:2500] + a[2501:]), (2, a, "shifted by some" + a), (3, a, a[2500:] + a[:2500]), (4, a, "".join(rng.choices(string.ascii_lowercase, k=5000)))]
+    frame = spark.createDataFrame(rows, "k int, a string, b string").select("k", fingerprints.likeness(fingerprints.sketch(F.col("a")), fingerprints.sketch(F.col("b"))).alias("l"))
+    got = {r.k: r.l for r in frame.collect()}
+    assert min(got[k] for k in range(4)) > 0.9 and got[4] < 0.05
+
+
+def test_chunks_change_nothing(spark, monkeypatch):
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("abcdefgh éß𝒳", k=n)) for n in (0, 1, 22, 23, 24, 100, 127, 128, 150, 151, 1000)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    whole = [r.s for r in frame.orderBy("k").select(fingerprints.syncmers(F.col("t")).alias("s")).collect()]
+    monkeypatch.setattr(fingerprints, "CHUNK", 128)
+    assert whole == [r.s for r in frame.orderBy("k").select(fingerprints.syncmers(F.col("t")).alias("s")).collect()]
+    assert 0.08 < len(whole[-1]) / 1000 < 0.18
 
 
 def test_fingerprints_edges(spark, tiny, nothing):
-    x = fingerprints.with_next(tiny.withColumn("bucket", F.lit(1)))
+    x = fingerprints.with_next(tiny.withColumn("bucket", F.lit(1)).withColumn("key", F.lit(1)))
     assert x.count() == tiny.count() and fingerprints.with_next(nothing).count() == 0
     rows = [(r.doc_id, r.next_text) for r in x.collect()]
     assert dict(rows)[11] == "a row without an id" and dict(rows)[None].startswith("the quick")
@@ -66,19 +124,23 @@ def test_fingerprints_edges(spark, tiny, nothing):
     assert [r.l for r in like] == [1.0]
 
 
+def test_next_rows_of_uneven_ids(spark, monkeypatch):
+    """Ids in clumps, at the ends of the range, negative and repeated: each row's next is that of a plain sort."""
+    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 8)
+    rng = random.Random(3)
+    ids = [*range(1000, 1300), *(rng.randint(-(1 << 63), (1 << 63) - 1) for _ in range(100)), -(1 << 63), (1 << 63) - 1, *range(5_000_000, 5_000_100), 1005, 1005, None]
+    rows = [(i, f"text {k:04}") for k, i in enumerate(ids)]
+    got = {r.text: r.next_text for r in fingerprints.with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert got == {t: order[(k + 1) % len(order)][1] for k, (_, t) in enumerate(order)}
+
+
 def test_short_texts_have_fingerprints(spark):
-    """Texts of four to eight words, many without a syncmer: only those of no words are empty."""
+    """Of texts shorter than a k-mer, or just as long, only the empty one has no fingerprint."""
     rng = random.Random(2)
-    rows = [(k, " ".join("".join(rng.choices(string.ascii_lowercase, k=5)) for _ in range(4 + k % 5))) for k in range(200)]
-    rows += [(200, "Thre er. And erhe."), (201, "Inouretiertion onesen onst athaha."), (202, ""), (203, " \n")]
-    frame = spark.createDataFrame(rows, "k long, text string").withColumn("s", fingerprints.sketch(F.col("text")))
-    got = {r.k: r for r in frame.select("k", "s", F.size(fingerprints.syncmers(F.col("text"))).alias("n")).collect()}
-    assert sum(r.n == 0 for k, r in got.items() if k < 200) > 10
-    assert [k for k, r in sorted(got.items()) if not r.s] == [202, 203]
-    assert len({tuple(got[k].s) for k in range(202)}) == 202
-    assert all(len(r.s) == r.n for r in got.values() if r.n)
-    like = frame.where("k = 200").select(F.col("s").alias("a")).crossJoin(frame.where("k IN (201, 202)").select(F.col("s").alias("b"))).select(fingerprints.likeness(F.col("a"), F.col("b")).alias("l"))
-    assert [r.l for r in like.collect()] == [0.0, 0.0]
+    rows = list(enumerate(["", " \n", "a", "Thre er. And erhe.", *("".join(rng.choices(string.ascii_lowercase, k=15 + k % 15)) for k in range(100))]))
+    got = [r.s for r in spark.createDataFrame(rows, "k long, t string").orderBy("k").select(fingerprints.sketch(F.col("t")).alias("s")).collect()]
+    assert [k for k, s in enumerate(got) if not s] == [0] and len({tuple(s) for s in got}) == len(rows)
 
 
 # mixing
