@@ -7,9 +7,9 @@ whatever the text.
 
 The fingerprint is all anchors in order, each with its distance to the next one: positions, but for where the text begins.
 Two texts match at an anchor if both have it at the same distance from the same next anchor, so a passage matches wherever
-it stands, and its characters only in their order. Hashes of runs of 2, 4 and 8 characters come from those half as long,
-and minima over 2, 4, 8 and 16 places likewise, all in arrays. Long texts are walked in chunks of CHUNK characters, which
-changes nothing: an anchor belongs to the chunk where its k-mer starts.
+it stands, and its characters only in their order. Hashes and minima are arrays, one element a character: minima over 16
+places come from those over 4. Long texts are walked in chunks of CHUNK characters, which changes nothing: an anchor belongs
+to the chunk where its k-mer starts. Nor does a text put together from parts of others need a walk, but for where they meet.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quadrant.llm.common import WORD, let, table
 
-S, WINDOW = 8, 16
+S, WINDOW = 4, 16
 K = S + WINDOW - 1
 CHUNK = 1 << 15
 #: Rows a bucket of neighbouring ids, and the most buckets; the table with a row a bucket is broadcast, so this bounds it.
@@ -27,28 +27,25 @@ BUCKET_ROWS, MOST_BUCKETS, CUTS = 256, 1 << 20, 1024
 ANCHORS = "array<struct<position:int,hash:bigint>>"
 
 
-def _shifted(values: Column, by: int, join) -> Column:
-    """join(values[i], values[i + by]) for each i that has both."""
-    return let(values, lambda v: let(F.greatest(F.size(v) - by, F.lit(0)), lambda n: F.zip_with(F.slice(v, 1, n), F.slice(v, by + 1, n), join)))
+def _with(values: Column, step: int, join) -> Column:
+    """join of each element with the three that lie step, 2 step and 3 step behind it; null beyond the end."""
+    return F.transform(values, lambda x, i: join(x, *[F.get(values, i + k * step) for k in (1, 2, 3)]))
 
 
 def _anchors(text: Column) -> Column:
-    """ANCHORS of a text of K characters or more, in order."""
-    hashes = F.transform(F.split(text, ""), lambda c: F.xxhash64(c))
-    for by in (1, 2, 4):
-        hashes = _shifted(hashes, by, lambda a, b: F.xxhash64(a, b))
+    """ANCHORS of a text of K characters or more, in order. The last elements of the arrays have less behind them, and mean
+    nothing."""
 
     def of(inner: Column) -> Column:
-        least = inner
-        for by in (1, 2, 4, 8):
-            least = _shifted(least, by, lambda a, b: F.least(a, b))
-        edges = _shifted(inner, WINDOW - 1, lambda a, b: F.struct(F.least(a, b).alias("least"), a.alias("first"), b.alias("last")))
-        # first, middle and last run together hold all K characters
-        marked = F.zip_with(edges, least, lambda e, m: F.when(e["least"] == m, e))
-        placed = F.transform(marked, lambda e, i: F.when(e.isNotNull(), F.struct(i.alias("position"), F.xxhash64(e["first"], F.element_at(inner, i + WINDOW // 2 + 1), e["last"]).alias("hash"))))
-        return F.array_compact(placed)
+        def mark(m: Column, i: Column) -> Column:
+            edge = F.least(F.get(inner, i), F.get(inner, i + (WINDOW - 1))) == m
+            # these five runs hold all K characters
+            return F.when((i <= F.size(inner) - K) & edge, F.struct(i.alias("position"), F.xxhash64(*[F.get(inner, i + k) for k in (0, 4, 8, 12, 15)]).alias("hash")))
 
-    return let(hashes, of)
+        least = let(_with(inner, 1, F.least), lambda four: _with(four, 4, F.least))
+        return F.array_compact(F.transform(least, mark))
+
+    return let(F.split(text, ""), lambda chars: let(_with(chars, 1, F.xxhash64), of))
 
 
 def syncmers(text: Column) -> Column:
@@ -61,19 +58,35 @@ def syncmers(text: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), last), chunk))
 
 
-def sketch(text: Column) -> Column:
+def joined(text: Column, anchors: Column, upto: Column, more: Column, more_anchors: Column, more_upto: Column) -> Column:
+    """ANCHORS of the first upto characters of text and the first more_upto of more behind them, given those of both."""
+
+    def of(at: Column) -> Column:  # bound once: a length is a walk over the text
+        n, m, begin, seam = at["n"], at["m"], at["begin"], at["seam"]
+        within = lambda a, upto, by: F.transform(F.filter(a, lambda x: x["position"] + K <= upto), lambda x: F.struct((x["position"] + by).alias("position"), x["hash"].alias("hash")))
+        return F.concat(within(anchors, n, F.lit(0)), within(syncmers(seam), at["seam_size"], begin), within(more_anchors, m, n))
+
+    def meet(at: Column) -> Column:
+        begin = F.greatest(at["n"] - (K - 1), F.lit(0))
+        seam = F.concat(F.substring(text, begin + 1, at["n"] - begin), F.substring(more, F.lit(1), F.least(at["m"], F.lit(K - 1))))
+        return F.struct(at["n"].alias("n"), at["m"].alias("m"), begin.alias("begin"), seam.alias("seam"), (at["n"] - begin + F.least(at["m"], F.lit(K - 1))).alias("seam_size"))
+
+    return let(F.struct(upto.alias("n"), more_upto.alias("m")), lambda at: let(meet(at), of))
+
+
+def sketch(text: Column, anchors: Column | None = None) -> Column:
     """array<bigint>: for each anchor, 32 bits of its hash above its distance to the next; 0 for the last one's.
 
-    A text without an anchor, as all of fewer than K characters are: the hash of the whole. Empty text: empty.
+    A text without an anchor, as all of fewer than K characters are: the hash of the whole. Empty text: empty. anchors: the
+    text's, where they are known.
     """
 
     def gaps(a: Column) -> Column:
-        n = F.size(a)
-        each = F.zip_with(a, F.slice(a, 2, n), lambda x, y: F.struct(x["hash"].alias("hash"), F.coalesce(y["position"] - x["position"], F.lit(0)).cast("long").alias("gap")))
-        return F.transform(each, lambda x: F.shiftleft(F.shiftrightunsigned(x["hash"], 32), 32).bitwiseOR(x["gap"]))
+        following = F.transform(a, lambda x, i: F.struct(x["hash"].alias("hash"), F.coalesce(F.get(a, i + 1)["position"] - x["position"], F.lit(0)).cast("long").alias("gap")))
+        return F.transform(following, lambda x: F.shiftleft(F.shiftrightunsigned(x["hash"], 32), 32).bitwiseOR(x["gap"]))
 
     whole = F.array(F.shiftleft(F.shiftrightunsigned(F.xxhash64(text), 32), 32))
-    return F.when(F.length(text) == 0, F.array().cast("array<bigint>")).otherwise(let(syncmers(text), lambda a: F.when(F.size(a) > 0, gaps(a)).otherwise(whole)))
+    return F.when(F.length(text) == 0, F.array().cast("array<bigint>")).otherwise(let(syncmers(text) if anchors is None else anchors, lambda a: F.when(F.size(a) > 0, gaps(a)).otherwise(whole)))
 
 
 def spelled(sketched: Column) -> Column:
@@ -94,7 +107,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, sketch, next_text, next_sketch: each row with the next by doc_id, then text; the first after the last.
+    """doc_id, text, anchors, next_text, next_anchors: each row with the next by doc_id, then text; the first after the last.
 
     Ids are cut at quantiles into buckets of BUCKET_ROWS rows on average, so every row is shuffled once, however unevenly
     the ids lie; each bucket also gets the first row of the next bucket that has any. Rows of one id share a bucket.
@@ -112,10 +125,10 @@ def with_next(docs: DataFrame) -> DataFrame:
     own = F.struct(F.col("bucket").alias("at"), F.lit(False).alias("wraps"), F.lit(False).alias("guest"))
     guest = F.struct(F.col("to").alias("at"), F.col("wraps").alias("wraps"), F.lit(True).alias("guest"))
     x = x.select("doc_id", "text", "key", F.explode(F.when(F.col("to").isNotNull(), F.array(own, guest)).otherwise(F.array(own))).alias("p"))
-    x = x.select("doc_id", "text", "key", "p.*").repartition("at").withColumn("sketch", sketch(F.col("text")))
+    x = x.select("doc_id", "text", "key", "p.*").repartition("at").withColumn("anchors", syncmers(F.col("text")))
     order = Window.partitionBy("at").orderBy("wraps", "key", "text", "guest")
-    x = x.withColumns({"next_text": F.lead("text").over(order), "next_sketch": F.lead("sketch").over(order)})
-    return x.where(~F.col("guest")).select("doc_id", "text", "sketch", "next_text", "next_sketch")
+    x = x.withColumns({"next_text": F.lead("text").over(order), "next_anchors": F.lead("anchors").over(order)})
+    return x.where(~F.col("guest")).select("doc_id", "text", "anchors", "next_text", "next_anchors")
 
 
 def _buckets(docs: DataFrame) -> Column:
@@ -145,6 +158,8 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
+    taken = F.least(half, F.length("next_text"))
     x = x.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)))
-    x = x.withColumn("edited_sketch", sketch(F.col("edited")))
+    x = x.withColumn("edited_anchors", joined(F.col("text"), F.col("anchors"), n - half, F.col("next_text"), F.col("next_anchors"), taken))
+    x = x.withColumns({"sketch": sketch(F.col("text"), F.col("anchors")), "next_sketch": sketch(F.col("next_text"), F.col("next_anchors")), "edited_sketch": sketch(F.col("edited"), F.col("edited_anchors"))})
     return x.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), spelled(F.col("sketch")).alias("fingerprint"), spelled(F.col("edited_sketch")).alias("edited_fingerprint"), likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"))

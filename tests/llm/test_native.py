@@ -30,33 +30,25 @@ MASK = (1 << 64) - 1
 
 
 def xx_of(spark, values):
-    """xxhash64 of strings, and of pairs and triples of hashes, by Spark itself."""
-    out = {}
-    for n in {1 if isinstance(v, str) else len(v) for v in values}:
-        some = [v for v in values if (1 if isinstance(v, str) else len(v)) == n]
-        if n == 1:
-            rows = spark.createDataFrame([(v,) for v in some], "a string").select("a", F.xxhash64("a").alias("h")).collect()
-            out |= {r.a: r.h for r in rows}
-        else:
-            names = "abc"[:n]
-            rows = spark.createDataFrame(some, ", ".join(f"{x} long" for x in names)).select(*names, F.xxhash64(*names).alias("h")).collect()
-            out |= {tuple(r[x] for x in names): r.h for r in rows}
-    return out
+    """xxhash64 of strings, and of tuples of characters or of hashes, by Spark itself."""
+    values = list(values)
+    if not values:
+        return {}
+    rows = [v if isinstance(v, tuple) else (v,) for v in values]
+    names = "abcde"[: len(rows[0])]
+    frame = spark.createDataFrame(rows, ", ".join(f"{x} {'string' if isinstance(rows[0][0], str) else 'long'}" for x in names))
+    found = {tuple(r[x] for x in names): r.h for r in frame.select(*names, F.xxhash64(*names).alias("h")).collect()}
+    return {v: found[r] for v, r in zip(values, rows, strict=True)}
 
 
 def brute_sketches(spark, texts):
     """The anchors of each text from every k-mer by itself, as (hash's upper half, distance to the next)."""
-    chars = xx_of(spark, {c for t in texts for c in t})
-    level = {t: [chars[c] for c in t] for t in texts}
-    for by in (1, 2, 4):
-        pairs = {(x[i], x[i + by]) for x in level.values() for i in range(len(x) - by)}
-        known = xx_of(spark, pairs) if pairs else {}
-        level = {t: [known[x[i], x[i + by]] for i in range(len(x) - by)] for t, x in level.items()}
-    found, w = {}, fingerprints.WINDOW
-    for t, x in level.items():
-        found[t] = [(i, (x[i], x[i + w // 2], x[i + w - 1])) for i in range(len(x) - w + 1) if min(x[i : i + w]) in (x[i], x[i + w - 1])]
-    mers = {m for a in found.values() for _, m in a}
-    known = xx_of(spark, mers) if mers else {}
+    s, w, found = fingerprints.S, fingerprints.WINDOW, {}
+    known = xx_of(spark, {tuple(t[i : i + s]) for t in texts for i in range(len(t) - s + 1)})
+    for t in texts:
+        x = [known[tuple(t[i : i + s])] for i in range(len(t) - s + 1)]
+        found[t] = [(i, (x[i], x[i + 4], x[i + 8], x[i + 12], x[i + 15])) for i in range(len(x) - w + 1) if min(x[i : i + w]) in (x[i], x[i + w - 1])]
+    known = xx_of(spark, {m for a in found.values() for _, m in a})
     whole = xx_of(spark, {t for t in texts if t and not found[t]})
     out = {}
     for t, a in found.items():
@@ -105,7 +97,7 @@ def test_one_changed_character_without_spaces(spark):
 
 def test_chunks_change_nothing(spark, monkeypatch):
     rng = random.Random(2)
-    texts = ["".join(rng.choices("abcdefgh éß𝒳", k=n)) for n in (0, 1, 22, 23, 24, 100, 127, 128, 150, 151, 1000)]
+    texts = ["".join(rng.choices("abcdefgh éß𝒳", k=n)) for n in (0, 1, 18, 19, 20, 100, 127, 128, 145, 146, 147, 1000)]
     frame = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
     whole = [r.s for r in frame.orderBy("k").select(fingerprints.syncmers(F.col("t")).alias("s")).collect()]
     monkeypatch.setattr(fingerprints, "CHUNK", 128)
@@ -120,7 +112,7 @@ def test_fingerprints_edges(spark, tiny, nothing):
     assert dict(rows)[11] == "a row without an id" and dict(rows)[None].startswith("the quick")
     one = fingerprints.with_next(tiny.where("doc_id = 7")).first()
     assert one.next_text == "word"
-    like = x.select(fingerprints.likeness(F.col("sketch"), F.col("sketch")).alias("l")).distinct().collect()
+    like = x.select(fingerprints.sketch(F.col("text"), F.col("anchors")).alias("s")).select(fingerprints.likeness(F.col("s"), F.col("s")).alias("l")).distinct().collect()
     assert [r.l for r in like] == [1.0]
 
 
@@ -138,7 +130,7 @@ def test_next_rows_of_uneven_ids(spark, monkeypatch):
 def test_short_texts_have_fingerprints(spark):
     """Of texts shorter than a k-mer, or just as long, only the empty one has no fingerprint."""
     rng = random.Random(2)
-    rows = list(enumerate(["", " \n", "a", "Thre er. And erhe.", *("".join(rng.choices(string.ascii_lowercase, k=15 + k % 15)) for k in range(100))]))
+    rows = list(enumerate(["", " \n", "a", "Thre er. And erhe.", *("".join(rng.choices(string.ascii_lowercase, k=12 + k % 15)) for k in range(100))]))
     got = [r.s for r in spark.createDataFrame(rows, "k long, t string").orderBy("k").select(fingerprints.sketch(F.col("t")).alias("s")).collect()]
     assert [k for k, s in enumerate(got) if not s] == [0] and len({tuple(s) for s in got}) == len(rows)
 
