@@ -7,7 +7,7 @@ whatever the text.
 
 The fingerprint is all anchors in order, each with its distance to the next one: positions, but for where the text begins.
 Two texts match at an anchor if both have it at the same distance from the same next anchor, so a passage matches wherever
-it stands, and its characters only in their order. Hashes and minima are arrays, one element a character: minima over 16
+it stands, and its characters only in their order. Hashes and minima are arrays, one element a character: minima over 32
 places come from those over 4. Long texts are walked in chunks of CHUNK characters, which changes nothing: an anchor belongs
 to the chunk where its k-mer starts. Nor does a text put together from parts of others need a walk, but for where they meet.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quadrant.llm.common import WORD, let, table
 
-S, WINDOW = 4, 16
+S, WINDOW = 4, 32
 K = S + WINDOW - 1
 CHUNK = 1 << 15
 #: Rows a bucket of neighbouring ids, and the most buckets; the table with a row a bucket is broadcast, so this bounds it.
@@ -27,25 +27,25 @@ BUCKET_ROWS, MOST_BUCKETS, CUTS = 256, 1 << 20, 1024
 ANCHORS = "array<struct<position:int,hash:bigint>>"
 
 
-def _with(values: Column, step: int, join) -> Column:
-    """join of each element with the three that lie step, 2 step and 3 step behind it; null beyond the end."""
-    return F.transform(values, lambda x, i: join(x, *[F.get(values, i + k * step) for k in (1, 2, 3)]))
+def _runs(text: Column) -> Column:
+    """Hash of each run of S characters. A regular expression gives the runs at once, but where characters beyond 16 bits
+    stand, it would also stop between their halves."""
+    quick = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{S}}}))"), F.lit(1))
+    slow = let(F.split(text, ""), lambda c: F.transform(F.slice(c, 1, F.greatest(F.size(c) - (S - 1), F.lit(0))), lambda x, i: F.concat(x, *[F.get(c, i + k) for k in range(1, S)])))
+    return F.transform(F.when(text.rlike("[\\x{10000}-\\x{10FFFF}]"), slow).otherwise(quick), lambda r: F.xxhash64(r))
 
 
 def _anchors(text: Column) -> Column:
-    """ANCHORS of a text of K characters or more, in order. The last elements of the arrays have less behind them, and mean
-    nothing."""
+    """ANCHORS of a text of K characters or more, in order."""
 
     def of(inner: Column) -> Column:
-        def mark(m: Column, i: Column) -> Column:
-            edge = F.least(F.get(inner, i), F.get(inner, i + (WINDOW - 1))) == m
-            # these five runs hold all K characters
-            return F.when((i <= F.size(inner) - K) & edge, F.struct(i.alias("position"), F.xxhash64(*[F.get(inner, i + k) for k in (0, 4, 8, 12, 15)]).alias("hash")))
+        whole = lambda i: F.xxhash64(*[F.get(inner, i + k) for k in range(0, WINDOW, S)], F.get(inner, i + (WINDOW - 1)))  # noqa: E731  # these hold all K characters
+        four = F.transform(inner, lambda x, i: F.least(x, *[F.get(inner, i + k) for k in range(1, 4)]))  # null, behind the end, counts for nothing
+        # the least of the window is the least of its edges
+        edges = lambda m: F.array_compact(F.transform(m, lambda x, i: F.when(F.least(x, *[F.get(m, i + k) for k in range(4, WINDOW, 4)]) == F.least(F.get(inner, i), F.get(inner, i + (WINDOW - 1))), i)))
+        return let(F.size(inner) - WINDOW, lambda last: F.transform(F.filter(let(four, edges), lambda i: i <= last), lambda i: F.struct(i.alias("position"), whole(i).alias("hash"))))
 
-        least = let(_with(inner, 1, F.least), lambda four: _with(four, 4, F.least))
-        return F.array_compact(F.transform(least, mark))
-
-    return let(F.split(text, ""), lambda chars: let(_with(chars, 1, F.xxhash64), of))
+    return let(_runs(text), of)
 
 
 def syncmers(text: Column) -> Column:
@@ -90,24 +90,19 @@ def sketch(text: Column, anchors: Column | None = None) -> Column:
 
 
 def spelled(sketched: Column) -> Column:
-    """A sketch as text: eight hexadecimal digits an anchor, a dash and the distance to the next but for the last one."""
-
-    def one(x: Column) -> Column:
-        gap = x.bitwiseAND(F.lit(0xFFFFFFFF))
-        return F.concat(F.lpad(F.lower(F.hex(F.shiftrightunsigned(x, 32))), 8, "0"), F.when(gap > 0, F.concat(F.lit("-"), gap.cast("string"))).otherwise(F.lit("")))
-
-    return F.array_join(F.transform(sketched, one), " ")
+    """A sketch as text: 64 bits an anchor in hexadecimal digits, the upper half the hash, the lower the distance to the next."""
+    return F.array_join(F.transform(sketched, lambda x: F.hex(x)), " ")
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of anchors matched, with the distance to the next, among the distinct ones of either. Two empty sketches: 1;
     one: 0."""
-    shared = let(F.size(F.array_intersect(a, b)), lambda n: n / (F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)) - n))
+    shared = F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).when(a == b, 1.0).otherwise(shared)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, anchors, next_text, next_anchors: each row with the next by doc_id, then text; the first after the last.
+    """doc_id, text, anchors, sketch, next_text, next_anchors, next_sketch: each row with the next by doc_id, then text; the first after the last.
 
     Ids are cut at quantiles into buckets of BUCKET_ROWS rows on average, so every row is shuffled once, however unevenly
     the ids lie; each bucket also gets the first row of the next bucket that has any. Rows of one id share a bucket.
@@ -125,10 +120,10 @@ def with_next(docs: DataFrame) -> DataFrame:
     own = F.struct(F.col("bucket").alias("at"), F.lit(False).alias("wraps"), F.lit(False).alias("guest"))
     guest = F.struct(F.col("to").alias("at"), F.col("wraps").alias("wraps"), F.lit(True).alias("guest"))
     x = x.select("doc_id", "text", "key", F.explode(F.when(F.col("to").isNotNull(), F.array(own, guest)).otherwise(F.array(own))).alias("p"))
-    x = x.select("doc_id", "text", "key", "p.*").repartition("at").withColumn("anchors", syncmers(F.col("text")))
+    x = x.select("doc_id", "text", "key", "p.*").repartition("at").withColumn("anchors", syncmers(F.col("text"))).withColumn("sketch", sketch(F.col("text"), F.col("anchors")))
     order = Window.partitionBy("at").orderBy("wraps", "key", "text", "guest")
-    x = x.withColumns({"next_text": F.lead("text").over(order), "next_anchors": F.lead("anchors").over(order)})
-    return x.where(~F.col("guest")).select("doc_id", "text", "anchors", "next_text", "next_anchors")
+    x = x.withColumns({"next_text": F.lead("text").over(order), "next_anchors": F.lead("anchors").over(order), "next_sketch": F.lead("sketch").over(order)})
+    return x.where(~F.col("guest")).select("doc_id", "text", "anchors", "sketch", "next_text", "next_anchors", "next_sketch")
 
 
 def _buckets(docs: DataFrame) -> Column:
@@ -161,5 +156,5 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = F.least(half, F.length("next_text"))
     x = x.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)))
     x = x.withColumn("edited_anchors", joined(F.col("text"), F.col("anchors"), n - half, F.col("next_text"), F.col("next_anchors"), taken))
-    x = x.withColumns({"sketch": sketch(F.col("text"), F.col("anchors")), "next_sketch": sketch(F.col("next_text"), F.col("next_anchors")), "edited_sketch": sketch(F.col("edited"), F.col("edited_anchors"))})
+    x = x.withColumn("edited_sketch", sketch(F.col("edited"), F.col("edited_anchors")))
     return x.select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), spelled(F.col("sketch")).alias("fingerprint"), spelled(F.col("edited_sketch")).alias("edited_fingerprint"), likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
