@@ -30,7 +30,7 @@ SHINGLE, PERCENT = 5, 85
 PERMUTATIONS, MISS = 64, 1e-4
 #: A block has about this many shingles, counting at least LEAST a text; a group of more than GROUP goes by buckets.
 BLOCK, LEAST, GROUP = 400_000, 1600, 40_000_000
-CACHE = 300_000
+CACHE = 150_000
 MULTIPLIERS = (np.random.default_rng(7).integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 STEP, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -97,7 +97,7 @@ def _signed(band: int):
             at = 0
             while at < len(pdf):
                 sets, total, start = [], 0, at
-                while at < len(pdf) and total < 1_000_000:  # bounds the arrays, however long the texts
+                while at < len(pdf) and total < 400_000:  # bounds the arrays, however long the texts
                     sets.append(shingles(pdf.text.iat[at]))
                     total += len(sets[-1])
                     at += 1
@@ -113,8 +113,8 @@ def _signed(band: int):
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        for at in range(0, len(pdf), 256):
-            part = pdf.iloc[at : at + 256]
+        for at in range(0, len(pdf), 64):
+            part = pdf.iloc[at : at + 64]
             sets = [shingles(t) for t in part.text]
             same = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == bytes(d) for s, d in zip(sets, part.digest, strict=True)]
             yield part[["node", "groups"]].assign(shingles=[s.tobytes() for s in sets])[same]

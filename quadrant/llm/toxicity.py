@@ -35,7 +35,8 @@ IDENTITIES = (("women", "men", "girls", "boys", "people"), ("woman", "man", "gir
 #: Learned terms: at most so many, each in so large a share of the sample, of a chi-squared below this; how alike a pair's
 #: company must be (cosine), and how many times as frequent one may be.
 TERMS, LEAST_SHARE, NEUTRAL_CHI2, ALIKE, RATIO = 128, 0.01, 1.0, 0.9, 2.0
-CACHE = 400_000
+#: Words that a worker remembers as telling nothing, and counts before it hands them on.
+CACHE, COUNTED = 200_000, 100_000
 LETTERS = bytes.maketrans(bytes(range(65, 91)) + b"".join(bytes([c]) for c in range(128) if not chr(c).isalnum()), bytes(range(97, 123)) + b" " * sum(not chr(c).isalnum() for c in range(128)))
 
 def words_of(text: str | None) -> set[bytes]:
@@ -72,7 +73,7 @@ def _frequent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text, toxic in zip(pdf.text, pdf.toxic, strict=True):
             for w in words_of(text):
                 seen.setdefault(w, [0, 0])[int(toxic)] += 1
-            if len(seen) > CACHE:
+            if len(seen) > COUNTED:
                 yield _listed(seen)
                 seen = {}
     yield _listed(seen)
