@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadrant.sources.shared import shared_dir, written  # noqa: F401
+
 #: A word is a maximal run of anything but ASCII white space; the same class everywhere, in Java's and in Python's syntax.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -19,35 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, else the context's checkpoint folder, which all executors see.
-
-    Where neither is set: a fresh local folder if the master is local, as in tests; an error on a cluster, where each
-    machine would write to a folder of its own.
-    """
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        found = spark.conf.get("quadrant.shared.dir", None)
-        if not found:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            found = tempfile.mkdtemp(prefix="quadrant-shared-")
-            spark.conf.set("quadrant.shared.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a table in the shared folder, read back: it cuts the lineage, and a lost executor loses none of it.
-
-    Unlike cached blocks these files outlive their executors; unlike checkpoint() they are columnar and compressed.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body) -> Column:
     """body(value), with value computed once: a lambda's variable is evaluated once, an expression at each mention."""
     return F.transform(F.array(value), body)[0]
