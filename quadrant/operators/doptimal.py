@@ -1,9 +1,11 @@
 """D-optimal selection: k locations whose features span the largest volume.
 
-The state of a selection is a matrix of features by features on the driver; what depends on the number of locations is
-one aggregate an iteration. "greedy" picks locations by largest leverage and is independent of row order but for ties,
-which the smaller loc_id wins. "pivot" starts from the first k rows and exchanges one location at a time by a pivot step.
-Few locations (COLLECT values) are fetched once and the same steps run in numpy; `ran` in the result says which way.
+The state of a selection is a matrix of features by features on the driver; what depends on the number of locations is an
+aggregate over them. "greedy" picks locations by largest leverage and is independent of row order but for ties, which the
+smaller loc_id wins. As leverages only fall while locations are chosen, one pass that returns the BATCH largest serves as
+many picks as stay above the least of them, so the picks are those of a pass each. "coresets" makes such picks in every
+part of the table at once and then among the picked: one pass, whatever k. "pivot" starts from the first k rows and
+exchanges one location at a time by a pivot step.
 """
 
 from __future__ import annotations
@@ -11,14 +13,18 @@ from __future__ import annotations
 import warnings
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from quadrant.functions.rng import order_key
 from quadrant.operators.samplers import Samples
+from quadrant.operators.spacing import spaced
+from quadrant.sources.shared import written
 
-COLLECT = 4_000_000
+#: Rows that a pass of "greedy" returns; rows of a part of "coresets".
+BATCH, PART = 512, 20_000
 RIDGE = 1e-9
 
 
@@ -44,53 +50,42 @@ def excluded(points: DataFrame, chosen: list[tuple[float, float]], min_dist: flo
     return F.exists(table, near)
 
 
-class _Here:
-    """Locations in driver memory."""
+def leverage(matrix: np.ndarray, f: str = "f") -> Column:
+    """f M f' of an array column and a matrix of numbers, which multiplies det(S'S) by 1 + leverage if M is its inverse."""
+    rows = F.lit([[float(x) for x in row] for row in matrix])
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return dot(F.col(f), F.transform(rows, lambda row: dot(row, F.col(f))))
 
-    ran = "driver"
 
-    def __init__(self, df: DataFrame):
-        pdf = df.orderBy("loc_id").toPandas()
-        self.ids, self.xy = pdf.loc_id.to_numpy(), pdf[["x", "y"]].to_numpy(float)
-        self.a = np.array(pdf.f.tolist(), float)
-
-    def best(self, score: str, matrix: np.ndarray, barred: list, min_dist: float | None, masked: bool = True):
-        """(loc_id, features, x, y, score) of the row with the largest score that isn't barred; None if all are."""
-        s = np.einsum("ij,jk,ik->i", self.a, matrix, self.a) if score == "leverage" else np.abs(self.a @ matrix).max(1)
-        if masked:
-            s = s.copy()
-            for b in barred:
-                s[self.ids == b[0]] = -1
-                if min_dist:
-                    s[((self.xy - np.array(b[2:4])) ** 2).sum(1) < min_dist**2] = -1
-        i = int(s.argmax())
-        return None if s[i] < 0 else (int(self.ids[i]), self.a[i], *self.xy[i], float(s[i]))
-
-    def first(self, k: int):
-        return [(int(self.ids[i]), self.a[i], *self.xy[i]) for i in range(k)]
+def projection_top(matrix: np.ndarray, f: str = "f") -> Column:
+    """The largest absolute component of the vector f W, W a matrix of numbers with a row a feature."""
+    columns = F.lit([[float(x) for x in column] for column in np.transpose(matrix)])
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return F.array_max(F.transform(columns, lambda column: F.abs(dot(column, F.col(f)))))
 
 
 class _Spread:
-    """Locations in a DataFrame: one aggregate a step, of which one row returns."""
-
-    ran = "cluster"
+    """Locations in a DataFrame: loc_id, x, y, f."""
 
     def __init__(self, df: DataFrame):
-        self.df = df.persist()
-
-    def best(self, score: str, matrix: np.ndarray, barred: list, min_dist: float | None, masked: bool = True):
-        n = len(matrix)
-        f = [F.element_at("f", i + 1) for i in range(n)]
-        if score == "leverage":
-            s = sum(f[i] * f[j] * float(matrix[i, j]) for i in range(n) for j in range(n))
-        else:
-            columns = [F.abs(sum(f[i] * float(matrix[i, j]) for i in range(n))) for j in range(matrix.shape[1])]
-            s = F.greatest(*columns) if len(columns) > 1 else columns[0]
+        self.df = written(df, "locations")
+
+    def free(self, barred: list, min_dist: float | None) -> DataFrame:
         rows = self.df
-        if masked and barred:
+        if barred:
             rows = rows.where(~F.col("loc_id").isin([b[0] for b in barred]))
             if min_dist:
                 rows = rows.where(~excluded(rows, [b[2:4] for b in barred], min_dist))
+        return rows
+
+    def largest(self, inverse: np.ndarray, barred: list, min_dist: float | None) -> list:
+        """The BATCH rows of largest leverage, ties by loc_id."""
+        rows = self.free(barred, min_dist).withColumn("s", leverage(inverse)).orderBy(F.desc("s"), "loc_id").limit(BATCH)
+        return [(r.loc_id, np.array(r.f), r.x, r.y, r.s) for r in rows.collect()]
+
+    def best(self, matrix: np.ndarray, barred: list, min_dist: float | None):
+        """(loc_id, features, x, y, score) of the row whose projection is largest; None if all are barred."""
+        rows, s = self.free(barred, min_dist), projection_top(matrix)
         r = rows.agg(F.max_by(F.struct("loc_id", "f", "x", "y", s.alias("s")), F.struct(s, -F.col("loc_id"))).alias("r")).first().r
         return None if r is None else (r.loc_id, np.array(r.f), r.x, r.y, r.s)
 
@@ -98,47 +93,101 @@ class _Spread:
         return [(r.loc_id, np.array(r.f), r.x, r.y) for r in self.df.orderBy("loc_id").limit(k).collect()]
 
 
-def _greedy(rows, n: int, k: int, min_dist: float | None):
-    """k times the row of largest leverage a(S'S)^-1 a', which multiplies det(S'S) by 1 + leverage; starts from a ridge,
-    under which leverage is largest where a row leaves the span of those before."""
-    inverse, chosen = np.eye(n) / RIDGE, []
+def _greedy(rows: _Spread, n: int, k: int, min_dist: float | None, chosen: list | None = None):
+    """Adds to chosen, up to k, the row of largest leverage a(S'S)^-1 a'; starts from a ridge, under which leverage is
+    largest where a row leaves the span of those before. Returns them and the number of passes."""
+    chosen, inverse, passes = list(chosen or []), np.eye(n) / RIDGE, 0
+    for c in chosen:
+        inverse = _added(inverse, c[1])
     while len(chosen) < k:
-        got = rows.best("leverage", inverse, chosen, min_dist)
-        if got is None:
+        batch, passes = rows.largest(inverse, chosen, min_dist), passes + 1
+        if not batch:
             if min_dist:
                 warnings.warn(f"only {len(chosen)} locations are min_dist apart; the rest are nearer", stacklevel=4)
                 min_dist = None
                 continue
             raise ValueError("fewer locations than samples")
-        chosen.append(got)
-        v = inverse @ got[1]
-        inverse = inverse - np.outer(v, v) / (1 + got[1] @ v)
-        inverse = (inverse + inverse.T) / 2
-    return chosen, True, k
+        least = batch[-1][4] if len(batch) == BATCH else -1.0
+        for pick in _picks(batch, inverse, k - len(chosen), min_dist, least):
+            chosen.append(pick)
+            inverse = _added(inverse, pick[1])
+    return chosen, passes
+
+
+def _added(inverse: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """(S'S + a'a)^-1 from (S'S)^-1."""
+    v = inverse @ a
+    inverse = inverse - np.outer(v, v) / (1 + a @ v)
+    return (inverse + inverse.T) / 2
+
+
+def _picks(batch: list, inverse: np.ndarray, k: int, min_dist: float | None, least: float = -1.0) -> list:
+    """Up to k greedy picks among rows (loc_id, features, x, y, ...), the first in any case, others while above least."""
+    ids, a, xy = np.array([b[0] for b in batch]), np.array([b[1] for b in batch]), np.array([b[2:4] for b in batch], float)
+    open_, out = np.ones(len(batch), bool), []
+    while len(out) < k and open_.any():
+        s = np.where(open_, np.einsum("ij,jk,ik->i", a, inverse, a), -1.0)
+        top = np.flatnonzero(s == s.max())
+        i = int(top[ids[top].argmin()])
+        if out and s[i] <= least:
+            break
+        out.append((int(ids[i]), a[i], float(xy[i, 0]), float(xy[i, 1]), float(s[i])))
+        inverse = _added(inverse, a[i])
+        open_[i] = False
+        if min_dist:
+            open_ &= ((xy - xy[i]) ** 2).sum(1) >= min_dist**2
+    return out
 
 
-def _spaced(rows, df: DataFrame, k: int, min_dist: float, seed: int):
-    """k rows in random order, each at least min_dist from those before while there are such."""
-    order = [order_key(seed, "loc_id"), F.col("loc_id")]
-    chosen: list = []
-    while len(chosen) < k:
-        free = df.where(~F.col("loc_id").isin([c[0] for c in chosen])) if chosen else df
-        far = free.where(~excluded(free, [c[2:4] for c in chosen], min_dist)) if chosen else free
-        got = far.orderBy(*order).limit(1).collect()
-        if not got:
-            warnings.warn("no location left at min_dist; the rest are random", stacklevel=4)
-            got = free.orderBy(*order).limit(k - len(chosen)).collect()
-        chosen += [(r.loc_id, np.array(r.f), r.x, r.y) for r in got]
+def _part_picks(n: int, k: int, min_dist: float | None):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("loc_id", kind="stable")
+        batch = list(zip(pdf.loc_id, map(np.asarray, pdf.f), pdf.x, pdf.y, strict=True))
+        got = _picks(batch, np.eye(n) / RIDGE, k, min_dist)
+        return pd.DataFrame({"loc_id": [g[0] for g in got], "x": [g[2] for g in got], "y": [g[3] for g in got], "f": [g[1].tolist() for g in got], "nr": range(1, len(got) + 1)})
+
+    return run
+
+
+def _coresets(rows: _Spread, m: int, n: int, k: int, min_dist: float | None):
+    """Greedy picks in every part of about PART rows, then among the picked, until one part is left; parts are by hash.
+
+    Where picks at min_dist run out, the rest come from passes over all rows.
+    """
+    df, size = rows.df, max(PART, 4 * k)
+    schema, level = "loc_id long, x double, y double, f array<double>, nr int", 0
+    while True:
+        level, parts = level + 1, -(-m // size)
+        part = F.pmod(F.xxhash64("loc_id", F.lit(level)), F.lit(parts)).alias("part")
+        df = written(df.select("loc_id", "x", "y", "f").groupBy(part).applyInPandas(_part_picks(n, k, min_dist), schema), "coresets")
+        if parts == 1:
+            break
+        m = df.count()
+    chosen = [(r.loc_id, np.array(r.f), r.x, r.y) for r in df.orderBy("nr").collect()]  # k at most
+    if len(chosen) < k:
+        chosen, more = _greedy(rows, n, k, min_dist, chosen)
+        level += more
+    return chosen, level
+
+
+def _spaced(rows: _Spread, k: int, min_dist: float, seed: int):
+    """k rows in random order no two of which are nearer than min_dist, as far as there are such."""
+    apart = spaced(rows.df, min_dist, seed).orderBy("order_key", "loc_id").limit(k).collect()
+    chosen = [(r.loc_id, np.array(r.f), r.x, r.y) for r in apart]
+    if len(chosen) < k:
+        warnings.warn("no location left at min_dist; the rest are random", stacklevel=4)
+        more = rows.free(chosen, None).orderBy(order_key(seed, "loc_id"), "loc_id").limit(k - len(chosen)).collect()
+        chosen += [(r.loc_id, np.array(r.f), r.x, r.y) for r in more]
     return chosen
 
 
-def _pivot(rows, df: DataFrame, n: int, k: int, min_dist: float | None, tol: float, most: int, seed: int):
+def _pivot(rows: _Spread, n: int, k: int, min_dist: float | None, tol: float, most: int, seed: int):
     """Exchanges while some |a W| exceeds tol. B = A W is never stored: W is n x k, and pivoted rows are kept apart."""
-    chosen = _spaced(rows, df, k, min_dist, seed) if min_dist else rows.first(k)
+    chosen = _spaced(rows, k, min_dist, seed) if min_dist else rows.first(k)
     p = np.array([c[1] for c in chosen])
     if np.linalg.matrix_rank(p) < min(n, k):
         warnings.warn("the first rows don't span the features; chosen by leverage instead", stacklevel=4)
-        chosen, _, _ = _greedy(rows, n, k, min_dist)
+        chosen, _ = _greedy(rows, n, k, min_dist)
         p = np.array([c[1] for c in chosen])
         if np.linalg.matrix_rank(p) < min(n, k):
             raise ValueError("the features are linearly dependent")
@@ -147,7 +196,7 @@ def _pivot(rows, df: DataFrame, n: int, k: int, min_dist: float | None, tol: flo
         barred = chosen if min_dist else []
         known = list(kept.items())
         skip = [(i, None, np.inf, np.inf) for i, _ in known]
-        got = rows.best("row", w, barred + skip, min_dist, masked=True)
+        got = rows.best(w, barred + skip, min_dist)
         rivals = [] if got is None else [(got[4], -got[0], got, got[1] @ w)]
         held = {c[0] for c in barred}
         rivals += [(float(np.abs(b).max()), -i, row, b) for i, (row, b) in known if i not in held]
@@ -169,8 +218,8 @@ def d_optimal(df: DataFrame, n: int, features: list[str] | None = None, min_dist
 
     Rows with a null or non-finite feature or coordinate can't be chosen. features: all numeric columns unless named.
     """
-    if method not in ("greedy", "pivot"):
-        raise ValueError("method must be greedy or pivot")
+    if method not in ("greedy", "coresets", "pivot"):
+        raise ValueError("method must be greedy, coresets or pivot")
     for c in ("loc_id", "x", "y"):
         if c not in df.columns:
             raise ValueError(f"locations need a column {c}")
@@ -191,8 +240,13 @@ def d_optimal(df: DataFrame, n: int, features: list[str] | None = None, min_dist
     if normalized:
         t = normalize(t, cols)
     t = t.select("loc_id", "x", "y", F.array(*cols).alias("f"))
-    rows = _Here(t) if m * len(cols) <= COLLECT else _Spread(t)
-    chosen, converged, steps = _greedy(rows, len(cols), n, min_dist) if method == "greedy" else _pivot(rows, t, len(cols), n, min_dist, tol, max_iters, seed)
+    rows, converged = _Spread(t), True
+    if method == "greedy":
+        chosen, steps = _greedy(rows, len(cols), n, min_dist)
+    elif method == "coresets":
+        chosen, steps = _coresets(rows, m, len(cols), n, min_dist)
+    else:
+        chosen, converged, steps = _pivot(rows, len(cols), n, min_dist, tol, max_iters, seed)
     picked = df.sparkSession.createDataFrame([(int(c[0]), k) for k, c in enumerate(chosen, 1)], "pick_id long, sample_id int")
     out = df.join(F.broadcast(picked), df.loc_id == picked.pick_id).drop("pick_id")
-    return Samples(out, "maxvol", n, None, {"method": method, "features": ", ".join(names), "converged": converged, "iterations": steps, "ran": rows.ran})
+    return Samples(out, "maxvol", n, None, {"method": method, "features": ", ".join(names), "converged": converged, "iterations": steps})

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrant.functions.distance import distance_sq
+from quadrant.functions.quantiles import medians
 from quadrant.operators.strata import Strata
 
 
@@ -50,7 +51,9 @@ def distance_summary(points: DataFrame, centroids: DataFrame, n_strata: int, act
     d2 = distance_sq(longlat)(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"))
     centers = centroids.select("stratum_id", F.col("x").alias("cx"), F.col("y").alias("cy"))
     d = points.select("stratum_id", "x", "y").join(centers, "stratum_id").select("stratum_id", (F.sqrt(d2) if actual_distance else d2).alias("d"))
-    stats = d.groupBy("stratum_id").agg(F.count("d").alias("n"), F.avg("d").alias("mean_dist"), F.stddev_samp("d").alias("sd_dist"), F.min("d").alias("min_dist"), F.max("d").alias("max_dist"), F.median("d").alias("median_dist"))
+    stats = d.groupBy("stratum_id").agg(F.count("d").alias("n"), F.avg("d").alias("mean_dist"), F.stddev_samp("d").alias("sd_dist"), F.min("d").alias("min_dist"), F.max("d").alias("max_dist"))
+    middle = medians(d, "stratum_id", "d", "median_dist")
+    stats = stats.join(middle, "stratum_id", "left")
     every = points.sparkSession.range(1, n_strata + 1).select(F.col("id").cast("int").alias("stratum_id"))
     return every.join(stats, "stratum_id", "left").select("stratum_id", F.coalesce("n", F.lit(0)).alias(count_as), "mean_dist", "sd_dist", "min_dist", "max_dist", "median_dist")
 

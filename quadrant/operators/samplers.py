@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrant.functions.distance import planar_sq
+from quadrant.functions.ranks import ranked
 from quadrant.functions.rng import uniform
 from quadrant.operators.strata import Strata, stratify
-from quadrant.sources.areas import Area, inside
+from quadrant.sources.areas import Area, trapezoids
 
 LABELS = {"simple_random": "Simple random sampling", "stratified_random": "Stratified random sampling", "coverage": "Spatial coverage sampling", "coverage_equal_area": "Spatial coverage sampling, equal area", "composite": "Composite sampling", "maxvol": "D-optimal sampling"}
 
@@ -37,54 +38,69 @@ class Samples:
         return f"{self!r}\n  x: {r.a:.2f} - {r.b:.2f}\n  y: {r.c:.2f} - {r.d:.2f}" + (f"\n  prior points: {r.p}" if prior else "")
 
 
-def random_candidates(spark: SparkSession, area: Area, n: int, seed: int) -> DataFrame:
-    """cell_id 0..n-1 with x, y uniform over the bounding box, or on the sphere over its area."""
-    x0, y0, x1, y1 = area.bbox
-    u, v = uniform(seed, F.lit("x"), "id"), uniform(seed, F.lit("y"), "id")
-    if area.longlat:  # uniform by area: the sine of the latitude is uniform
-        a, b = math.sin(math.radians(y0)), math.sin(math.radians(y1))
-        y = F.degrees(F.asin(F.lit(a) + v * F.lit(b - a)))
-    else:
-        y = F.lit(y0) + v * F.lit(y1 - y0)
-    return spark.range(n).select(F.col("id").alias("cell_id"), (F.lit(x0) + u * F.lit(x1 - x0)).alias("x"), y.alias("y"))
-
-
 def simple_random(spark: SparkSession, area: Area, n: int, seed: int = 1) -> Samples:
-    """n points uniform over the area: the first n candidates that fall into it."""
+    """n points uniform over the area, on the sphere by its area there, however thin it is: none is drawn in vain.
+
+    A point draws one of the area's trapezoids by size, a height in it by the width there, and a place between its sides.
+    """
     if n < 1:
         raise ValueError("n must be at least 1")
-    tried = 2 * n + 64
-    while True:
-        found = inside(random_candidates(spark, area, tried, seed), area)
-        if found.count() >= n:
-            break
-        tried *= 4
-        if tried > 2000 * (n + 64):
-            raise ValueError("the area is too small a part of its bounding box")
-    first = found.orderBy("cell_id").limit(n)
-    out = first.select(F.row_number().over(Window.orderBy("cell_id")).alias("sample_id"), "x", "y")
+    parts = trapezoids(area)
+    sizes = [t.size(area.longlat) for t in parts]
+    total, ends = sum(sizes), []
+    if not total > 0:
+        raise ValueError("the area has no extent")
+    for size in sizes:
+        ends.append((ends[-1] if ends else 0.0) + size)
+    # of few trapezoids an array to search, of an outline's many as well: its size is that of the outline
+    table = F.array(*[F.struct(F.lit(e / total).alias("end"), *[F.lit(float(v)).alias(k) for k, v in vars(t).items()]) for e, t in zip(ends, parts, strict=True)])
+    u, v, w = (uniform(seed, F.lit(k), "id") for k in ("part", "y", "x"))
+    rows = spark.range(1, n + 1).select("id", v.alias("v"), w.alias("w"), F.coalesce(F.filter(table, lambda t: t["end"] > u)[0], F.element_at(table, -1)).alias("t"))
+    w0, w1, h = F.col("t.right0") - F.col("t.left0"), F.col("t.right1") - F.col("t.left1"), F.col("t.y1") - F.col("t.y0")
+    if area.longlat:
+        share = _share_on_sphere(w0, w1, F.col("t.y0"), h, F.col("v"))
+    else:  # of (w0 + (w1 - w0) s / 2) s = v (w0 + w1) / 2, the root that holds for equal widths too
+        share = F.col("v") * (w0 + w1) / (w0 + F.sqrt(w0 * w0 + F.col("v") * (w1 * w1 - w0 * w0)))
+    left, right = F.col("t.left0") + (F.col("t.left1") - F.col("t.left0")) * F.col("s"), F.col("t.right0") + (F.col("t.right1") - F.col("t.right0")) * F.col("s")
+    out = rows.withColumn("s", share).select(F.col("id").cast("int").alias("sample_id"), (left + F.col("w") * (right - left)).alias("x"), (F.col("t.y0") + F.col("s") * h).alias("y"))
     return Samples(out, "simple_random", n)
 
 
+def _share_on_sphere(w0: Column, w1: Column, y0: Column, h: Column, v: Column) -> Column:
+    """The share of the height h below which the share v of a trapezoid's spherical area lies, by 50 halvings."""
+    slope = (w1 - w0) / h
+    part = lambda s: (w0 + slope * s * h) * F.sin(F.radians(y0 + s * h)) + F.degrees(slope * F.cos(F.radians(y0 + s * h)))
+    goal = part(F.lit(0.0)) + v * (part(F.lit(1.0)) - part(F.lit(0.0)))
+    start = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"), goal.alias("goal"))
+
+    def halve(a: Column, _: Column) -> Column:
+        mid = (a["lo"] + a["hi"]) / 2
+        below = part(mid) < a["goal"]
+        return F.struct(F.when(below, mid).otherwise(a["lo"]).alias("lo"), F.when(below, a["hi"]).otherwise(mid).alias("hi"), a["goal"].alias("goal"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(50)), start, halve, lambda a: a["lo"])
+
+
 def draw(cells: DataFrame, n_per_stratum: int, seed: int, cell_size: tuple[float, float] | None = None) -> DataFrame:
     """stratum_id, draw (from 1), cell_id, x, y: n cells a stratum with replacement, each moved within its cell.
 
     A draw picks a rank among its stratum's cells, so draws and cells meet in an equi-join; strata without cells give
     none. Points may leave the area by half a cell at its edge, as cells do.
     """
-    ranked = cells.select("stratum_id", "cell_id", "x", "y", F.row_number().over(Window.partitionBy("stratum_id").orderBy("cell_id")).alias("rank"))
-    sizes = cells.groupBy("stratum_id").agg(F.count(F.lit(1)).alias("n"))
+    places = ranked(cells.select("stratum_id", "cell_id", "x", "y"), ["cell_id"], ["stratum_id"])
+    sizes = places.groupBy("stratum_id").agg(F.count(F.lit(1)).alias("n"))
     draws = sizes.select("stratum_id", "n", F.explode(F.sequence(F.lit(1), F.lit(n_per_stratum))).alias("draw"))
-    pick = (F.floor(uniform(seed, F.lit("cell"), "stratum_id", "draw") * F.col("n")) + 1).cast("int")
+    pick = F.floor(uniform(seed, F.lit("cell"), "stratum_id", "draw") * F.col("n")).cast("long")
     x, y = F.col("x"), F.col("y")
     if cell_size is not None:
         x = x + (uniform(seed, F.lit("dx"), "stratum_id", "draw") - 0.5) * F.lit(float(cell_size[0]))
         y = y + (uniform(seed, F.lit("dy"), "stratum_id", "draw") - 0.5) * F.lit(float(cell_size[1]))
-    return draws.select("stratum_id", "draw", pick.alias("rank")).join(ranked, ["stratum_id", "rank"]).select("stratum_id", "draw", "cell_id", x.alias("x"), y.alias("y"))
+    return draws.select("stratum_id", "draw", pick.alias("rank")).join(places, ["stratum_id", "rank"]).select("stratum_id", "draw", "cell_id", x.alias("x"), y.alias("y"))
 
 
-def _numbered(drawn: DataFrame) -> Column:
-    return F.row_number().over(Window.orderBy("stratum_id", "draw"))
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows with sample_id, from 1, in that order."""
+    return ranked(rows, order, rank="sample_id").withColumn("sample_id", (F.col("sample_id") + 1).cast("int"))
 
 
 def stratified(strata: Strata, n_per_stratum: int = 1, seed: int = 1) -> Samples:
@@ -94,7 +110,7 @@ def stratified(strata: Strata, n_per_stratum: int = 1, seed: int = 1) -> Samples
     if n_per_stratum < 1:
         raise ValueError("n_per_stratum must be at least 1")
     drawn = draw(strata.cells, n_per_stratum, seed, strata.cell_size)
-    out = drawn.select("stratum_id", _numbered(drawn).alias("sample_id"), "x", "y")
+    out = numbered(drawn, ["stratum_id", "draw"]).select("stratum_id", "sample_id", "x", "y")
     return Samples(out, "stratified_random", out.count(), strata)
 
 
@@ -121,7 +137,7 @@ def coverage(spark: SparkSession, where, n_strata: int | None = None, priors=Non
     rows = [(k, float(x), float(y)) for k, (x, y) in enumerate(strata.priors, 1)]
     prior = spark.createDataFrame(rows, "stratum_id int, px double, py double")
     both = moved.join(prior, "stratum_id", "left")
-    out = both.select(F.row_number().over(Window.orderBy("stratum_id")).alias("sample_id"), "stratum_id", F.col("px").isNotNull().alias("is_prior"), F.coalesce("px", "x").alias("x"), F.coalesce("py", "y").alias("y"))
+    out = numbered(both, ["stratum_id"]).select("sample_id", "stratum_id", F.col("px").isNotNull().alias("is_prior"), F.coalesce("px", "x").alias("x"), F.coalesce("py", "y").alias("y"))
     return Samples(out, "coverage", strata.n_strata, strata)
 
 
@@ -144,5 +160,5 @@ def composite(spark: SparkSession, where, n_strata: int | None = None, n_composi
             raise ValueError("n_strata is needed to stratify an area")
         strata = stratify(spark, where, n_strata, n_try=n_try, n_cells=n_cells, seed=seed, equal_area=True)
     drawn = draw(strata.cells, n_composites, seed, strata.cell_size)
-    out = drawn.select("stratum_id", _numbered(drawn).alias("sample_id"), "x", "y", F.col("draw").alias("composite"))
+    out = numbered(drawn, ["stratum_id", "draw"]).select("stratum_id", "sample_id", "x", "y", F.col("draw").alias("composite"))
     return Samples(out, "composite", out.count(), strata, {"composites": n_composites})

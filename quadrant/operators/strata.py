@@ -5,17 +5,17 @@ from __future__ import annotations
 import math
 import warnings
 from dataclasses import dataclass, field
+from fractions import Fraction
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrant.functions.distance import EARTH_KM, distance_sq
+from quadrant.functions.distance import EARTH_KM, distance_sq, haversine_sq_of
+from quadrant.functions.ranks import ranked
 from quadrant.functions.rng import order_key
 from quadrant.sources.areas import Area, cell_size_of, grid, inside
+from quadrant.sources.shared import written
 
-SWOP_CELLS, HERE_CELLS = 100_000, 200_000
 Center = tuple[float, float]
 
 
@@ -72,8 +72,8 @@ def seed_cells(cells: DataFrame, k: int, seed: int, attempt: int = 0) -> DataFra
 
 def balanced_labels(cells: DataFrame, k: int, seed: int, attempt: int = 0) -> DataFrame:
     """cells with label 0..k-1 dealt round robin over a random order, so label counts differ by one at most."""
-    order = Window.orderBy(order_key(seed, F.lit(attempt), "cell_id"), "cell_id")
-    return cells.withColumn("label", ((F.row_number().over(order) - 1) % k).cast("int"))
+    keyed = cells.withColumn("order_key", order_key(seed, F.lit(attempt), "cell_id"))
+    return ranked(keyed, ["order_key", "cell_id"], rank="label").withColumn("label", (F.col("label") % k).cast("int")).drop("order_key")
 
 
 def prepare_priors(cells: DataFrame, priors: list[Center], longlat: bool = False, area: Area | None = None) -> list[tuple[int, Center, int]]:
@@ -103,58 +103,90 @@ def prepare_priors(cells: DataFrame, priors: list[Center], longlat: bool = False
     return kept
 
 
-def _step(cells: DataFrame, tries: dict[int, list[Center]], longlat: bool) -> dict[int, tuple[dict[int, tuple[float, float, int]], float]]:
-    """For each try, new centers by stratum and the mean squared distance to the old ones: one job for all tries."""
-    each = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), nearest_center(c, longlat).alias("n")) for t, c in tries.items()]))
-    rows = cells.select("x", "y", each.alias("e")).groupBy(F.col("e.t").alias("t"), F.col("e.n.stratum_id").alias("k")).agg(*centroid(longlat), F.count(F.lit(1)).alias("n"), F.sum("e.n.d2").alias("d2")).collect()
-    out = {}
-    for t in tries:
-        mine = [r for r in rows if r.t == t]
-        n = sum(r.n for r in mine)
-        out[t] = ({r.k: (r.x, r.y, r.n) for r in mine}, sum(r.d2 for r in sorted(mine, key=lambda r: r.k)) / n)
-    return out
+#: Coordinates are summed as whole numbers of 2^-GRAIN of their range, so sums don't depend on the order of rows.
+GRAIN = 50
+HAVERSINE_SQ = f"pow({2 * EARTH_KM!r}D * asin(least(1D, sqrt(pow(sin(radians(c.b - y) / 2), 2) + cos(radians(y)) * cos(radians(c.b)) * pow(sin(radians(c.a - x) / 2), 2)))), 2)"
+#: What doubles may lose of a distance, as a share of it.
+SLACK = 1e-9
 
 
-class _Here:
-    """_step() in driver memory, for up to HERE_CELLS cells: a grid of an area, not a table of data."""
+class _Lloyd:
+    """Steps of several tries over cells (x, y) as Spark jobs; each cell carries, for each try, bounds between steps.
 
-    def __init__(self, cells: DataFrame, longlat: bool):
-        pdf = cells.select("cell_id", "x", "y").orderBy("cell_id").toPandas()
-        self.x, self.y, self.longlat = pdf.x.to_numpy(float), pdf.y.to_numpy(float), longlat
-        lon, lat = np.radians(self.x), np.radians(self.y)
-        self.unit = [np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)] if longlat else None
+    A row is a cell of a try: its stratum, an upper bound on the distance to that center, and a lower one on the distance to
+    any other. After centers moved, bounds are moved by as much; where the upper stays below the lower, or below half the
+    way to the next center, the stratum can't have changed and no center is looked at. A step is a pass that writes the rows
+    and an aggregate of one row a stratum.
+    """
 
-    def _d2(self, a: int, b: int, c: np.ndarray) -> np.ndarray:
-        x, y = self.x[a:b, None], self.y[a:b, None]
-        if not self.longlat:
-            return (x - c[:, 0]) * (x - c[:, 0]) + (y - c[:, 1]) * (y - c[:, 1])
-        half = np.sin(np.radians(c[:, 1] - y) / 2) ** 2 + np.cos(np.radians(y)) * np.cos(np.radians(c[:, 1])) * np.sin(np.radians(c[:, 0] - x) / 2) ** 2
-        return (2 * EARTH_KM * np.arcsin(np.minimum(1.0, np.sqrt(half)))) ** 2
-
-    def step(self, centers: list[Center]) -> tuple[dict[int, tuple[float, float, int]], float]:
-        c, n, k = np.array(centers, float), len(self.x), len(centers)
-        label, best = np.empty(n, int), np.empty(n)
-        rows = max(1, 4_000_000 // k)
-        for a in range(0, n, rows):
-            d = self._d2(a, a + rows, c)
-            label[a : a + rows] = d.argmin(1)
-            best[a : a + rows] = d[np.arange(len(d)), label[a : a + rows]]
-        size = np.bincount(label, minlength=k)
-        mean = lambda v: np.bincount(label, v, k) / np.maximum(size, 1)
-        if self.longlat:
-            u, v, w = map(mean, self.unit)
-            x, y = np.degrees(np.arctan2(v, u)), np.degrees(np.arcsin(w / np.maximum(np.sqrt(u * u + v * v + w * w), 1e-300)))
+    def __init__(self, cells: DataFrame, longlat: bool):
+        self.longlat, self.rows = longlat, None
+        lon, lat = F.radians("x"), F.radians("y")
+        parts = {"u": F.cos(lat) * F.cos(lon), "v": F.cos(lat) * F.sin(lon), "w": F.sin(lat)} if longlat else {"u": F.col("x"), "v": F.col("y")}
+        r = cells.agg(*[f(e).alias(n + m) for n, e in parts.items() for f, m in ((F.min, "0"), (F.max, "1"))]).first()
+        self.low = {n: r[n + "0"] for n in parts}
+        self.range = {n: (r[n + "1"] - r[n + "0"]) or 1.0 for n in parts}
+        whole = [F.round((e - F.lit(self.low[n])) / F.lit(self.range[n]) * float(1 << GRAIN)).cast("decimal(20,0)").alias(n) for n, e in parts.items()]
+        self.cells = written(cells.select("x", "y", *whole), "lloyd-cells")
+
+    def _scan(self, centers: str) -> str:
+        """SQL of struct(stratum_id, upper, lower, d2) by distances to an array of centers, the first of equals.
+
+        Text, as are the tables of numbers below: steps are many and short, and building columns call by call takes longer.
+        """
+        d2 = HAVERSINE_SQ if self.longlat else "(x - c.a) * (x - c.a) + (y - c.b) * (y - c.b)"
+        none = "CAST(NULL AS STRUCT<d2: DOUBLE, k: INT, next: DOUBLE>)"
+        merge = "CASE WHEN s IS NULL THEN named_struct('d2', e.d2, 'k', e.k, 'next', double('Infinity')) WHEN e.d2 < s.d2 THEN named_struct('d2', e.d2, 'k', e.k, 'next', s.d2) ELSE named_struct('d2', s.d2, 'k', s.k, 'next', least(s.next, e.d2)) END"
+        end = f"named_struct('stratum_id', s.k, 'upper', sqrt(s.d2) * {1 + SLACK!r}D, 'lower', sqrt(s.next) * {1 - SLACK!r}D, 'd2', s.d2)"
+        return f"aggregate(transform({centers}, c -> named_struct('d2', {d2}, 'k', c.k)), {none}, (s, e) -> {merge}, s -> {end})"
+
+    def step(self, tries: dict[int, list[Center]], before: dict[int, list[Center]] | None = None) -> dict[int, tuple[dict[int, tuple[float, float, int]], int]]:
+        """For each try, new centers by stratum with their cells, and how many cells were measured.
+
+        before: the centers of the step before, whose bounds the rows carry; without it every cell is measured.
+        """
+        order = sorted(tries)
+        number = lambda v: f"double('{v!r}')" if not math.isfinite(v) else f"{v!r}D"
+        array = lambda items: f"array({', '.join(items)})"
+        tables = array(array(f"named_struct('a', {number(float(x))}, 'b', {number(float(y))}, 'k', {k})" for k, (x, y) in enumerate(tries[t], 1)) for t in order)
+        scan = self._scan(f"get({tables}, at)")
+        if before is None or self.rows is None:
+            rows = self.cells.selectExpr("*", f"explode({array(map(str, range(len(order))))}) AS at").selectExpr("*", "true AS scanned", f"{scan} AS s")
         else:
-            x, y = mean(self.x), mean(self.y)
-        return {i + 1: (float(x[i]), float(y[i]), int(size[i])) for i in range(k) if size[i]}, float(best.mean())
+            facts = [_movement(tries[t], before[t], self.longlat) for t in order]
+            pick = lambda k: f"get(get({array(array(map(number, f[k])) for f in facts)}, at), stratum_id - 1)"
+            at = f"CAST(array_position({array(map(str, order))}, t) - 1 AS INT) AS at"
+            rows = self.rows.where(F.col("t").isin(order)).selectExpr("*", at)
+            rows = rows.selectExpr("x", "y", *self.low, "at", "stratum_id", f"upper + {pick(0)} AS upper", f"lower - {pick(1)} AS lower", f"{pick(2)} AS half")
+            rows = rows.selectExpr("x", "y", *self.low, "at", "named_struct('stratum_id', stratum_id, 'upper', upper, 'lower', lower, 'd2', CAST(NULL AS DOUBLE)) AS kept", "coalesce(upper < greatest(lower, half), false) AS keep")
+            rows = rows.selectExpr("x", "y", *self.low, "at", "NOT keep AS scanned", f"CASE WHEN keep THEN kept ELSE {scan} END AS s")
+        self.rows = written(rows.selectExpr("x", "y", *self.low, f"get({array(map(str, order))}, at) AS t", "scanned", "s.stratum_id", "s.upper", "s.lower"), "lloyd-rows")
+        found = self.rows.groupBy("t", "stratum_id").agg(*[F.sum(n).alias(n) for n in self.low], F.count(F.lit(1)).alias("n"), F.count_if("scanned").alias("scanned")).collect()
+        of = {t: sorted((r for r in found if r.t == t), key=lambda r: r.stratum_id) for t in order}
+        return {t: ({r.stratum_id: (*self._center(r), r.n) for r in mine}, sum(r.scanned for r in mine)) for t, mine in of.items()}
+
+    def _center(self, r) -> Center:
+        mean = {n: self.low[n] + float(Fraction(int(r[n]), r.n << GRAIN)) * self.range[n] for n in self.low}
+        if not self.longlat:
+            return mean["u"], mean["v"]
+        size = math.sqrt(sum(m * m for m in mean.values())) or 1.0
+        return math.degrees(math.atan2(mean["v"], mean["u"])), math.degrees(math.asin(max(-1.0, min(1.0, mean["w"] / size))))
+
+
+def _movement(centers: list[Center], before: list[Center], longlat: bool) -> tuple[list[float], list[float], list[float]]:
+    """By center: how far it moved, the farthest that any other moved, half the way to its nearest other; rounded safely."""
+    way = (lambda p, q: math.sqrt(haversine_sq_of(*p, *q))) if longlat else (lambda p, q: math.hypot(p[0] - q[0], p[1] - q[1]))
+    moved = [way(p, q) * (1 + SLACK) for p, q in zip(centers, before, strict=True)]
+    order = sorted(range(len(moved)), key=lambda k: -moved[k])
+    others = [(moved[order[1]] if len(moved) > 1 else 0.0) if k == order[0] else moved[order[0]] for k in range(len(moved))]
+    half = [min((way(p, q) for j, q in enumerate(centers) if j != k), default=math.inf) / 2 * (1 - SLACK) for k, p in enumerate(centers)]
+    return moved, others, half
 
 
-def _stepper(cells: DataFrame, n: int, longlat: bool):
-    """What makes a step for all tries: in driver memory for few cells, a job over the cluster for more."""
-    if n > HERE_CELLS:
-        return lambda tries: _step(cells, tries, longlat)
-    here = _Here(cells, longlat)
-    return lambda tries: {t: here.step(c) for t, c in tries.items()}
+def mean_squares(cells: DataFrame, tries: dict[int, list[Center]], longlat: bool) -> dict[int, float]:
+    """Mean squared distance of cells to the nearest of each try's centers: one job, one row."""
+    r = cells.agg(*[F.avg(nearest_center(c, longlat)["d2"]).alias(f"t{t}") for t, c in tries.items()]).first()
+    return {t: r[f"t{t}"] for t in tries}
 
 
 def _moved(centers: list[Center], found: dict, fixed: int) -> list[Center]:
@@ -170,39 +202,6 @@ def _seeds(cells: DataFrame, k: int, seed: int, attempt: int, prior: list[tuple[
     return [p for _, p, _ in prior] + drawn
 
 
-def _swop(cells: pd.DataFrame, k: int, most: int, longlat: bool) -> pd.DataFrame:
-    """First-improvement exchange of cells between strata of fixed sizes. cells: cell_id, x, y, label, in order of id."""
-    cells = cells.sort_values("cell_id").reset_index(drop=True)
-    xy, label = cells[["x", "y"]].to_numpy(float), cells.label.to_numpy().copy()
-    n = len(xy)
-
-    def to(center: np.ndarray) -> np.ndarray:
-        return ((xy - center) ** 2).sum(1)
-
-    centers = np.array([xy[label == c].mean(0) for c in range(k)])
-    d = np.stack([to(c) for c in centers], 1)
-    active, done, passes = np.ones(k, bool), False, 0
-    while passes < most and not done:
-        passes += 1
-        was, active, done = active, np.zeros(k, bool), True
-        own = d[np.arange(n), label]
-        for i in range(n):
-            a = label[i]
-            gain = d[i, a] + own - d[i, label] - d[:, a]
-            could = (label != a) & (was[a] | was[label]) & (gain > 1e-12)
-            j = int(could.argmax())
-            if not could[j]:
-                continue
-            b = label[j]
-            label[i], label[j] = b, a
-            for c in (a, b):
-                centers[c] = xy[label == c].mean(0)
-                d[:, c] = to(centers[c])
-            own = d[np.arange(n), label]
-            active[[a, b]], done = True, False
-    return cells.assign(stratum_id=label + 1, converged=done, passes=passes)
-
-
 def stratify(spark: SparkSession, where: Area | DataFrame, n_strata: int, priors: list[Center] | None = None, max_iter: int = 1000, n_try: int = 1, n_cells: int = 2500, cell_size=None, equal_area: bool = False, seed: int = 1, algorithm: str = "lloyd", longlat: bool | None = None) -> Strata:
     """Strata of an area's grid cells, or of the points of a table (cell_id, x, y).
 
@@ -236,52 +235,45 @@ def stratify(spark: SparkSession, where: Area | DataFrame, n_strata: int, priors
         return _equal_area(cells, n, n_strata, max_iter, n_try, seed, size)
     tries = {t: _seeds(cells, n_strata, seed, t, prior) for t in range(n_try)}
     steps, labels, converged = dict.fromkeys(tries, 0), dict(tries), dict.fromkeys(tries, algorithm == "single_step")
-    going, step = dict(tries), _stepper(cells, n, longlat)
+    going, before, lloyd = dict(tries), None, _Lloyd(cells, longlat)
     for _ in range(1 if algorithm == "single_step" else max_iter):
-        found = step(going)
-        for t in list(going):
-            labels[t], new = going[t], _moved(going[t], found[t][0], len(prior))
+        found = lloyd.step(going, before)
+        before, going = going, {t: _moved(c, found[t][0], len(prior)) for t, c in going.items()}
+        for t, new in list(going.items()):
+            labels[t], tries[t] = before[t], new
             steps[t] += 1
-            converged[t] = converged[t] or new == going[t]
-            tries[t] = new
-            going[t] = new
+            converged[t] = converged[t] or new == before[t]
             if converged[t]:
                 del going[t]
         if not going:
             break
-    scores = {t: s for t, (_, s) in step(tries).items()}
+    scores = mean_squares(cells, tries, longlat)
+    cells.unpersist()
     best = min(scores, key=lambda t: (scores[t], t))
     if not converged[best]:
         warnings.warn(f"not converged in {max_iter} iterations", stacklevel=2)
     centers = tries[best]
     by = labels[best] if algorithm == "single_step" else centers
     out = cells.withColumn("stratum_id", nearest_center(by, longlat)["stratum_id"])
-    frame = spark.createDataFrame([(k, float(x), float(y), k <= len(prior)) for k, (x, y) in enumerate(centers, 1)], "stratum_id int, x double, y double, is_fixed boolean")
-    return Strata(out, frame, n_strata, scores[best], converged[best], steps[best], False, longlat, size, tuple(p for _, p, _ in prior), tuple(scores[t] for t in sorted(scores)))
+    return Strata(out, _centroids(spark, centers, len(prior)), n_strata, scores[best], converged[best], steps[best], False, longlat, size, tuple(p for _, p, _ in prior), tuple(scores[t] for t in sorted(scores)))
+
+
+def _centroids(spark: SparkSession, centers: list[Center], fixed: int = 0) -> DataFrame:
+    return spark.createDataFrame([(k, float(x), float(y), k <= fixed) for k, (x, y) in enumerate(centers, 1)], "stratum_id int, x double, y double, is_fixed boolean")
 
 
 def _equal_area(cells: DataFrame, n: int, k: int, most: int, n_try: int, seed: int, size) -> Strata:
-    """One task a try: an exchange looks at cells one after another, so a try isn't divided. Cells are a grid's, not data."""
-    if n > SWOP_CELLS:
-        raise ValueError(f"equal-area strata take up to {SWOP_CELLS} cells; {n} are too many")
-    spark = cells.sparkSession
-    dealt = None
-    for t in range(n_try):
-        one = balanced_labels(cells.select("cell_id", "x", "y"), k, seed, t).withColumn("try_id", F.lit(t))
-        dealt = one if dealt is None else dealt.unionByName(one)
-    done = dealt.groupBy("try_id").applyInPandas(lambda pdf: _swop(pdf, k, most, False)[["try_id", "cell_id", "x", "y", "stratum_id", "converged", "passes"]], "try_id int, cell_id long, x double, y double, stratum_id int, converged boolean, passes int").persist()
-    centers = {}
-    for r in done.groupBy("try_id", "stratum_id").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.first("converged").alias("c"), F.first("passes").alias("p")).collect():
-        centers.setdefault(r.try_id, {})[r.stratum_id] = r
-    lists = {t: [(c[s].x, c[s].y) for s in range(1, k + 1)] for t, c in sorted(centers.items())}
-    scores = {t: s for t, (_, s) in _stepper(cells, n, False)(lists).items()}
+    """Of n_try random starts, the strata of equal size whose centers have the least mean squared shortest distance."""
+    from quadrant.operators.balance import equal_strata
+
+    found = {t: equal_strata(cells, _seeds(cells, k, seed, t, []), most) for t in range(n_try)}
+    scores = mean_squares(cells, {t: f.means for t, f in found.items()}, False)
+    cells.unpersist()
     best = min(scores, key=lambda t: (scores[t], t))
-    facts = centers[best][1]
-    if not facts.c:
+    got = found[best]
+    if not got.converged:
         warnings.warn(f"not converged in {most} iterations", stacklevel=3)
-    out = cells.join(done.where(F.col("try_id") == best).select("cell_id", "stratum_id"), "cell_id")
-    frame = spark.createDataFrame([(s, float(x), float(y), False) for s, (x, y) in enumerate(lists[best], 1)], "stratum_id int, x double, y double, is_fixed boolean")
-    return Strata(out, frame, k, scores[best], bool(facts.c), int(facts.p), True, False, size, (), tuple(scores[t] for t in sorted(scores)))
+    return Strata(got.assign(cells), _centroids(cells.sparkSession, got.means), k, scores[best], got.converged, got.steps, True, False, size, (), tuple(scores[t] for t in sorted(scores)))
 
 
 def within_sse(strata: Strata) -> float:

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadrant.functions.ranks import ranked
+
 Ring = tuple[tuple[float, float], ...]
 MOST_STRIPS = 1024
 MOST_BROADCAST_EDGES = 200_000
@@ -84,6 +86,71 @@ def inside(points: DataFrame, area: Area, key: str = "cell_id") -> DataFrame:
     return near.join(hits.where("on = 1 OR odd = 1").select(key).distinct(), key, "left_semi")
 
 
+def bounding_area(points: DataFrame, longlat: bool = False) -> Area:
+    """The rectangle around points (x, y)."""
+    r = points.agg(F.min("x").alias("a"), F.min("y").alias("b"), F.max("x").alias("c"), F.max("y").alias("d")).first()
+    if r.a is None or r.b is None:
+        raise ValueError("no points to bound")
+    return Area.rectangle(float(r.a), float(r.b), float(r.c), float(r.d), longlat)
+
+
+def point_cells(points: DataFrame, order: list[str]) -> DataFrame:
+    """The rows of points (x, y, ...) as cells: cell_id numbers those with finite coordinates from 0 by columns that tell them apart."""
+    known = points.where("abs(CAST(x AS DOUBLE)) < double('Infinity') AND abs(CAST(y AS DOUBLE)) < double('Infinity')")
+    return ranked(known, order, rank="cell_id")
+
+
+@dataclass(frozen=True)
+class Trapezoid:
+    """Between heights y0 and y1, from (left0, right0) at y0 to (left1, right1) at y1."""
+
+    y0: float
+    y1: float
+    left0: float
+    right0: float
+    left1: float
+    right1: float
+
+    def size(self, longlat: bool = False) -> float:
+        """Area, on the sphere up to a constant factor."""
+        w0, w1, h = self.right0 - self.left0, self.right1 - self.left1, self.y1 - self.y0
+        if not longlat:
+            return (w0 + w1) / 2 * h
+        slope = (w1 - w0) / h
+        part = lambda y: (w0 + slope * (y - self.y0)) * math.sin(math.radians(y)) + math.degrees(slope * math.cos(math.radians(y)))
+        return part(self.y1) - part(self.y0)
+
+
+def trapezoids(area: Area) -> list[Trapezoid]:
+    """The area cut at the heights of all corners and crossings of its outline, each slab between neighbouring edges.
+
+    Overlapping polygons count once: a slab's stretches are those that lie in at least one polygon by its own parity.
+    """
+    edges = [(k, x1, y1, x2, y2) if y1 < y2 else (k, x2, y2, x1, y1) for k, x1, y1, x2, y2 in area.edges() if y1 != y2]
+    heights = {e[j] for e in edges for j in (2, 4)}
+    for i, (_, ax, ay, bx, by) in enumerate(edges):
+        for _, cx, cy, dx, dy in edges[i + 1 :]:
+            turn = (bx - ax) * (dy - cy) - (by - ay) * (dx - cx)
+            if turn:
+                t = ((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / turn
+                u = ((cx - ax) * (by - ay) - (cy - ay) * (bx - ax)) / turn
+                if 0 < t < 1 and 0 < u < 1:
+                    heights.add(ay + t * (by - ay))
+    ys, out = sorted(heights), []
+    for y0, y1 in zip(ys, ys[1:], strict=False):
+        at = lambda e, y: e[1] + (e[3] - e[1]) * ((y - e[2]) / (e[4] - e[2]))
+        across = sorted((e for e in edges if e[2] <= y0 and e[4] >= y1), key=lambda e: (at(e, (y0 + y1) / 2), e))
+        within, left = set(), None
+        for e in across:
+            was = bool(within)
+            within ^= {e[0]}
+            if within and not was:
+                left = e
+            elif was and not within:
+                out.append(Trapezoid(y0, y1, at(left, y0), at(e, y0), at(left, y1), at(e, y1)))
+    return out
+
+
 def cell_size_of(area: Area, n_cells: int = 2500, cell_size: float | tuple[float, float] | None = None) -> tuple[float, float]:
     """Cell width and height: square cells, n_cells to the bounding box, unless given."""
     x0, y0, x1, y1 = area.bbox
