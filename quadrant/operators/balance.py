@@ -217,8 +217,8 @@ def _filled(cells: DataFrame, found: Balanced, want: np.ndarray) -> None:
             if np.maximum(now - want, 0).sum() < left and now.min() >= least or not step:
                 size, pairs, top = now, found_pairs, new
                 break
-            share /= 2
-            if share < 1e-3:  # cells in one place, nearly: chains part them
+            share /= 4
+            if share < 1e-2:  # cells in one place, nearly: chains part them
                 found.prices, top = prices, top / 8
                 size, pairs = _margins(cells, found, top)
                 break

@@ -30,12 +30,58 @@ def test_distinct_and_deterministic(sites, method):
     assert a == picked(doptimal.d_optimal(sites.repartition(7), 15, ["elevation", "slope"], method=method))
 
 
-@pytest.mark.parametrize("method", ["greedy", "pivot"])
-def test_cluster_path_equals_driver_path(sites, method, monkeypatch):
-    here = doptimal.d_optimal(sites, 8, ["elevation", "slope"], method=method)
-    monkeypatch.setattr(doptimal, "COLLECT", 0)
-    there = doptimal.d_optimal(sites, 8, ["elevation", "slope"], method=method)
-    assert (here.facts["ran"], there.facts["ran"]) == ("driver", "cluster") and picked(here) == picked(there)
+def brute_greedy(sites, k, cols, min_dist=None):
+    rows = doptimal.normalize(sites, cols).select("loc_id", "x", "y", *cols).orderBy("loc_id").collect()
+    xy = {r.loc_id: (r.x, r.y) for r in sites.select("loc_id", "x", "y").collect()}
+    a, inverse, chosen = np.array([tuple(r)[3:] for r in rows]), np.eye(len(cols)) / doptimal.RIDGE, []
+    for _ in range(k):
+        s = np.einsum("ij,jk,ik->i", a, inverse, a)
+        for i, r in enumerate(rows):
+            if r.loc_id in chosen or min_dist and any(math.dist(xy[r.loc_id], xy[c]) < min_dist for c in chosen):
+                s[i] = -1
+        i = int(s.argmax())
+        chosen.append(rows[i].loc_id)
+        inverse = doptimal._added(inverse, a[i])
+    return chosen
+
+
+@pytest.mark.parametrize("batch", [512, 3])
+@pytest.mark.parametrize("min_dist", [None, 2.5])
+def test_passes_of_many_picks_are_greedy_picks(sites, monkeypatch, batch, min_dist):
+    monkeypatch.setattr(doptimal, "BATCH", batch)
+    got = doptimal.d_optimal(sites, 9, ["elevation", "slope"], add_coords=False, min_dist=min_dist)
+    assert picked(got) == brute_greedy(sites, 9, ["elevation", "slope"], min_dist)
+    assert got.facts["iterations"] == 1 if batch == 512 else got.facts["iterations"] > 1
+
+
+@pytest.mark.parametrize("min_dist", [None, 2.0])
+def test_coresets_come_near_greedy(sites, monkeypatch, min_dist):
+    monkeypatch.setattr(doptimal, "PART", 48)
+    cols = ["x", "y", "elevation", "slope"]
+    got = doptimal.d_optimal(sites, 12, ["elevation", "slope"], method="coresets", min_dist=min_dist)
+    assert len(set(picked(got))) == 12 and got.facts["iterations"] >= 2
+    assert logdet(sites, picked(got), cols) >= logdet(sites, picked(doptimal.d_optimal(sites, 12, ["elevation", "slope"], min_dist=min_dist)), cols) - 0.5
+    rows = got.samples.collect()
+    assert not min_dist or min(math.dist((a.x, a.y), (b.x, b.y)) for a in rows for b in rows if a.loc_id < b.loc_id) >= min_dist
+
+
+def test_coresets_that_run_short_are_filled_from_all_rows(sites, monkeypatch):
+    monkeypatch.setattr(doptimal, "PART", 48)
+    with pytest.warns(UserWarning):
+        assert len(set(picked(doptimal.d_optimal(sites, 20, ["elevation"], min_dist=8.0, method="coresets")))) == 20
+
+
+def test_first_rows_that_do_not_span_the_features(spark):
+    """The first rows are copies of each other: the start of an exchange is chosen by leverage instead."""
+    rng = np.random.default_rng(8)
+    rows = [(k, float(k), 0.0, 1.0, 2.0) if k < 10 else (k, float(k), 0.0, float(rng.normal()), float(rng.normal())) for k in range(60)]
+    df = spark.createDataFrame(rows, "loc_id long, x double, y double, a double, b double")
+    with pytest.warns(UserWarning, match="don't span"):
+        got = picked(doptimal.d_optimal(df, 5, ["a", "b"], add_coords=False, method="pivot"))
+    assert len(set(got)) == 5 and np.isfinite(logdet(df, got, ["a", "b"])) and min(got) < 60 and max(got) >= 10
+    same = df.withColumn("b", F.col("a") * 2)
+    with pytest.raises(ValueError, match="dependent"), pytest.warns(UserWarning):
+        doptimal.d_optimal(same, 5, ["a", "b"], add_coords=False, method="pivot")
 
 
 def test_greedy_beats_the_first_rows(sites):

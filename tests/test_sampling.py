@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from quadrant.functions.distance import haversine_sq_of
 from quadrant.functions.rng import uniform
-from quadrant.operators import layers, metrics, samplers
-from quadrant.operators.strata import _step, balanced_labels, nearest_center, prepare_priors, stratify, within_sse
+from quadrant.operators import layers, metrics, samplers, strata
+from quadrant.operators.strata import balanced_labels, nearest_center, prepare_priors, stratify, within_sse
 from quadrant.sources import areas
 from quadrant.sources.areas import Area
 
@@ -52,17 +52,20 @@ def test_lloyd_improves_on_single_step_and_on_any_partitioning(spark):
     assert [tuple(r) for r in again.centroids.orderBy("stratum_id").collect()] == [tuple(r) for r in full.centroids.orderBy("stratum_id").collect()]
 
 
-def test_driver_and_cluster_steps_agree(spark):
-    from quadrant.operators.strata import _Here
-
-    for area in (SQUARE, LONGLAT):
-        cells = areas.grid(spark, area, 100)
-        x0, y0, x1, y1 = area.bbox
-        centers = [(x0 + (x1 - x0) * a, y0 + (y1 - y0) * b) for a, b in ((0.2, 0.3), (0.7, 0.6), (0.1, 0.9))]
-        there, score = _step(cells, {0: centers}, area.longlat)[0]
-        here, same = _Here(cells, area.longlat).step(centers)
-        assert score == pytest.approx(same) and {k: v[2] for k, v in there.items()} == {k: v[2] for k, v in here.items()}
-        assert all(there[k][:2] == pytest.approx(here[k][:2]) for k in there)
+@pytest.mark.parametrize("area", [SQUARE, LONGLAT])
+def test_carried_bounds_give_the_steps_of_full_scans(spark, area):
+    cells = areas.grid(spark, area, 400)
+    x0, y0, x1, y1 = area.bbox
+    start = [(x0 + (x1 - x0) * a, y0 + (y1 - y0) * b) for a, b in ((0.2, 0.3), (0.7, 0.6), (0.1, 0.9), (0.15, 0.85), (0.9, 0.1))]
+    bounded, centers, before, measured = strata._Lloyd(cells, area.longlat), start, None, []
+    for _ in range(8):
+        step = {0: centers} if before is None else {0: centers}
+        got, n = bounded.step(step, None if before is None else {0: before})[0]
+        full, every = strata._Lloyd(cells, area.longlat).step({0: centers})[0]
+        assert got == full and every == 400
+        before, centers = centers, strata._moved(centers, got, 0)
+        measured.append(n)
+    assert measured[0] == 400 and measured[-1] < 200
 
 
 def test_best_of_tries(spark):
