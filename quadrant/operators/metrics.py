@@ -78,3 +78,14 @@ def strata_efficiency(strata: Strata, digits: int = 3) -> DataFrame:
 
 def strata_distances(strata: Strata, actual_distance: bool = False) -> DataFrame:
     return distance_summary(strata.cells, strata.centroids, strata.n_strata, actual_distance, strata.longlat)
+
+
+def efficiency_text(x: Strata | DataFrame, digits: int = 3) -> str:
+    """The figures of strata_efficiency(), or of a row of coverage_efficiency(), as text to print."""
+    r = (strata_efficiency(x, digits) if isinstance(x, Strata) else x).first()
+    figure = lambda v: "NA" if v is None else f"{v:.{digits}f}"
+    lines = [
+        ("strata", r.n_strata), ("cells", r.total_cells), ("cells a stratum, mean (sd)", f"{figure(r.mean_cells)} ({figure(r.sd_cells)})"), ("smallest - largest", f"{r.min_cells} - {r.max_cells}"), ("range", r.range_cells),
+        ("coefficient of variation", figure(r.cv)), ("smallest to largest", figure(r.min_max_ratio)), ("Gini index", figure(r.gini)), ("score", r.efficiency_score),
+    ]
+    return "\n".join(["Coverage efficiency", *(f"  {name}: {value}" for name, value in lines)])

@@ -32,10 +32,13 @@ class Samples:
         return f"{LABELS[self.method]}\n  samples: {self.n_samples}{more}" + "".join(f"\n  {k}: {v}" for k, v in self.facts.items())
 
     def summary(self) -> str:
-        """repr, the ranges of coordinates, and how many samples are prior points."""
+        """repr, the ranges of coordinates, how many samples are prior points, and the ranges of features that chose them."""
         prior = [F.sum(F.col("is_prior").cast("int")).alias("p")] if "is_prior" in self.samples.columns else []
-        r = self.samples.agg(F.min("x").alias("a"), F.max("x").alias("b"), F.min("y").alias("c"), F.max("y").alias("d"), *prior).first()
-        return f"{self!r}\n  x: {r.a:.2f} - {r.b:.2f}\n  y: {r.c:.2f} - {r.d:.2f}" + (f"\n  prior points: {r.p}" if prior else "")
+        features = self.facts.get("features", "").split(", ") if self.method == "maxvol" else []
+        ranges = [f(F.col("`" + c.replace("`", "``") + "`")).alias(f"f{k}{e}") for k, c in enumerate(features) for e, f in (("a", F.min), ("b", F.max))]
+        r = self.samples.agg(F.min("x").alias("a"), F.max("x").alias("b"), F.min("y").alias("c"), F.max("y").alias("d"), *prior, *ranges).first()
+        out = f"{self!r}\n  x: {r.a:.2f} - {r.b:.2f}\n  y: {r.c:.2f} - {r.d:.2f}" + (f"\n  prior points: {r.p}" if prior else "")
+        return out + "".join(f"\n  {c}: {r[f'f{k}a']:.2f} - {r[f'f{k}b']:.2f}" for k, c in enumerate(features))
 
 
 def simple_random(spark: SparkSession, area: Area, n: int, seed: int = 1) -> Samples:

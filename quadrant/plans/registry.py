@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 from quadrant.functions import quantiles
 from quadrant.functions.distance import haversine_sq, planar_sq
 from quadrant.functions.rng import uniform
-from quadrant.operators import balance, doptimal, layers, metrics, samplers, spacing, strata
-from quadrant.sources import areas
+from quadrant.operators import balance, doptimal, layers, metrics, nearest, samplers, spacing, strata
+from quadrant.sources import areas, polygons
 
 TRIANGLE = areas.Area(((((0.0, 0.0), (100.0, 0.0), (40.0, 80.0)),),))
 HOLED = areas.Area((((((0.0, 0.0), (100.0, 0.0), (100.0, 100.0), (0.0, 100.0))), ((30.0, 30.0), (70.0, 30.0), (70.0, 70.0), (30.0, 70.0))),))
 TWO_PARTS = areas.Area(((((0.0, 0.0), (40.0, 0.0), (0.0, 40.0)),), (((60.0, 60.0), (100.0, 60.0), (100.0, 100.0), (60.0, 100.0)),)))
 THREE = ((10.0, 20.0), (40.0, 30.0), (25.0, 80.0))
+PLOT = (((0, 0), (9, 2), (20, 1), (26, 12), (17, 20), (29, 30), (10, 22), (4, 27), (7, 14)), ((10, 6), (15, 6), (12, 13)))
 PICKS, NEAR, EQUAL, STEPS = 6, 4.0, 12, 12
 PRIORS = ((10.0, 950.0), (40.0, 920.0), (10.2, 950.1), (25.0, 990.0))
 
@@ -342,6 +343,24 @@ def coverage_equal_area_sizes(s, d):
     return got.samples.join(sizes, "stratum_id").select("sample_id", "stratum_id", "n_cells")
 
 
+def _plots(s, d):
+    """A jagged outline with a hole for each nation, placed by its key."""
+    n = s.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("poly_id"))
+    ring = F.explode(F.array(*[F.struct(F.lit(r).alias("ring_id"), F.lit(k).alias("seq"), F.lit(x).alias("x"), F.lit(y).alias("y")) for r, points in enumerate(PLOT) for k, (x, y) in enumerate(points)])).alias("p")
+    return n.select("poly_id", ring).select("poly_id", "p.ring_id", "p.seq", (F.col("p.x") + F.col("poly_id") * 37 % 70).cast("double").alias("x"), (F.col("p.y") + F.col("poly_id") * 53 % 70).cast("double").alias("y"))
+
+
+def point_in_many(s, d):
+    """Orders in each nation's plot."""
+    return polygons.locate(places(s, d), _plots(s, d))
+
+
+def nearest_of_many(s, d):
+    """The nearest customer to each part, on a map of customers' balances."""
+    c = s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("stratum_id"), (F.col("c_custkey") % 50).cast("double").alias("x"), (F.col("c_acctbal") / 100).alias("y"))
+    return nearest.nearest(lots(s, d), c).select("cell_id", "stratum_id", _r("d2").alias("d2"))
+
+
 def group_medians(s, d):
     """Exact medians of order prices by status and day of the month, by rounds of histograms."""
     o = s.read.parquet(f"{d}/orders.parquet").select(F.concat_ws("-", "o_orderstatus", F.dayofmonth("o_orderdate") % 3).alias("stratum"), "o_totalprice")
@@ -399,6 +418,15 @@ def _inside_sql(area: areas.Area) -> str:
     return f"WITH {_PLACES}, {edges}, h AS (SELECT cell_id, poly, max(CAST({on} AS INTEGER)) AS o, sum(CAST({crosses} AS INTEGER)) % 2 AS odd FROM g, e GROUP BY 1, 2) SELECT cell_id, x, y FROM g WHERE cell_id IN (SELECT cell_id FROM h WHERE o = 1 OR odd = 1)"
 
 
+def _many_sql() -> str:
+    """Every order against every edge of every plot."""
+    edges = [(*a, *b) for ring in PLOT for a, b in zip(ring, ring[1:] + ring[:1], strict=True)]
+    on = "((bx - ax) * (y - ay) - (bend - ay) * (x - ax) = 0 AND x BETWEEN least(ax, bx) AND greatest(ax, bx) AND y BETWEEN least(ay, bend) AND greatest(ay, bend))"
+    crosses = "((ay > y) <> (bend > y) AND x < (bx - ax) * (y - ay) / CASE WHEN bend = ay THEN 1 ELSE bend - ay END + ax)"
+    shift = ", ".join(f"CAST({c} + n_nationkey * {m} % 70 AS DOUBLE) AS {c}" for c, m in (("ax", 37), ("ay", 53), ("bx", 37), ("bend", 53)))
+    return f"WITH {_PLACES}, e0(ax, ay, bx, bend) AS (VALUES {_values(edges)}), e AS (SELECT n_nationkey AS poly_id, {shift} FROM nation, e0) SELECT cell_id, poly_id FROM g, e GROUP BY 1, 2 HAVING max(CAST({on} AS INTEGER)) = 1 OR sum(CAST({crosses} AS INTEGER)) % 2 = 1"
+
+
 def _uniform_sql(seed: int, *parts: str) -> str:
     return f"(CAST(('0x' || substr(md5('{seed}:' || {" || ':' || ".join(parts)}), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE)"
 
@@ -542,6 +570,8 @@ QUERIES: dict = {
     "coverage_sample": (_covered(4), _strata_sql(6, 4, False, STEPS) + " SELECT CAST(k AS INTEGER) AS sample_id, CAST(k AS INTEGER) AS stratum_id, false AS is_prior, round(cx, 6) AS x, round(cy, 6) AS y FROM c12"),
     "coverage_priors": (_covered(5, list(PRIORS)), _strata_sql(6, 5, True, STEPS) + " SELECT CAST(k AS INTEGER) AS sample_id, CAST(k AS INTEGER) AS stratum_id, is_fixed AS is_prior, round(cx, 6) AS x, round(cy, 6) AS y FROM c12"),
     "coverage_equal_area_sizes": (coverage_equal_area_sizes, f"SELECT stratum_id AS sample_id, stratum_id, n_cells FROM ({_sizes_sql('part', 8)})"),
+    "point_in_many": (point_in_many, _many_sql()),
+    "nearest_of_many": (nearest_of_many, f"WITH {_LOTS}, c AS (SELECT c_custkey AS k, CAST(c_custkey % 50 AS DOUBLE) AS cx, c_acctbal / 100 AS cy FROM customer), d AS (SELECT cell_id, min({{'d2': (x - cx) * (x - cx) + (y - cy) * (y - cy), 'k': k}}) AS m FROM q, c GROUP BY 1) SELECT cell_id, m.k AS stratum_id, round(m.d2, 6) AS d2 FROM d"),
     "group_medians": (group_medians, "SELECT o_orderstatus || '-' || (day(o_orderdate) % 3) AS stratum, median(o_totalprice) AS median FROM orders GROUP BY 1"),
 }
 

@@ -80,7 +80,7 @@ def exchanged(points, k, seed):
 def test_equal_sizes_are_no_worse_than_exchange(spark):
     cells = areas.grid(spark, SQUARE, 400)
     points = [(r.x, r.y) for r in cells.collect()]
-    got = stratify(spark, SQUARE, 9, n_cells=400, equal_area=True, n_try=2)
+    got = stratify(spark, SQUARE, 9, n_cells=400, equal_area=True)
     assert sorted(r["count"] for r in got.cells.groupBy("stratum_id").count().collect()) == [44] * 5 + [45] * 4
     assert within_sse(got) <= np.mean([exchanged(points, 9, s) for s in range(4)]) * 1.005
 
@@ -125,3 +125,40 @@ def test_point_cells_are_numbered(spark):
     assert areas.bounding_area(df.where("k < 5")).bbox == (1.0, 2.0, 1.0, 2.0)
     with pytest.raises(ValueError):
         areas.bounding_area(df.where(F.lit(False)))
+
+
+def test_nearest_of_crowded_centers(spark):
+    from quadrant.operators.nearest import nearest
+
+    rng = np.random.default_rng(1)
+    c = np.r_[rng.normal(5, 1e-4, (150, 2)), rng.random((100, 2)) * 100, [[5, 5]] * 3]
+    p = np.r_[rng.random((300, 2)) * 140 - 20, [[5, 5]] * 3, c[:20]]
+    centers = spark.createDataFrame([(k + 1, float(x), float(y)) for k, (x, y) in enumerate(c)] + [(0, None, 1.0)], "stratum_id int, x double, y double")
+    points = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(p)] + [(999, float("nan"), 1.0)], "cell_id long, x double, y double")
+    d = ((p[:, None] - c[None]) ** 2).sum(2)
+    got = {r.cell_id: (r.stratum_id, r.d2) for r in nearest(points, centers).collect()}
+    assert got == {k: (int(d[k].argmin()) + 1, pytest.approx(float(d[k].min()))) for k in range(len(p))}
+    assert nearest(points, centers.limit(0)).count() == 0
+
+
+def test_many_polygons(spark):
+    """Stars of few and of many corners, far apart, overlapping and with holes, against one area at a time."""
+    from quadrant.sources import polygons
+
+    rng, rows, each = random.Random(1), [], {}
+    for k, n in enumerate((3, 5, 40, 200, 4)):
+        cx, cy, size = rng.uniform(30, 60), rng.uniform(30, 60), (0.01, 3, 12, 20, 8)[k]
+        turn = [2 * math.pi * i / n for i in range(n)]
+        ring = [(cx + rng.uniform(size / 2, size) * math.cos(t), cy + rng.uniform(size / 2, size) * math.sin(t)) for t in turn]
+        ring = [(20.0, 20.0), (60.0, 20.0), (60.0, 50.0), (20.0, 50.0)] if k == 4 else ring
+        hole = [(cx - size / 9, cy - size / 9), (cx + size / 9, cy - size / 9), (cx, cy + size / 9)]
+        rows += [(k, r, i, *p) for r, points in enumerate((ring, hole)) for i, p in enumerate(points)]
+        each[k] = Area(((tuple(ring), tuple(hole)),))
+    rings = spark.createDataFrame(rows, "poly_id int, ring_id int, seq int, x double, y double")
+    points = [(i, rng.uniform(10, 80), rng.uniform(10, 80)) for i in range(500)] + [(900 + i, *p) for i, p in enumerate([(20.0, 20.0), (40.0, 20.0), (60.0, 50.0), (60.0, 50.1)])] + [(990, rows[0][3], rows[0][4])]
+    df = spark.createDataFrame([*points, (991, None, 1.0)], "cell_id long, x double, y double")
+    got = sorted((r.cell_id, r.poly_id) for r in polygons.locate(df, rings).collect())
+    assert got == sorted((r.cell_id, k) for k, a in each.items() for r in areas.inside(df, a).collect())
+    assert polygons.locate(df, rings.limit(0)).count() == 0
+    squares = polygons.cover(polygons.edges_of(rings))[0].collect()
+    assert any(q.whole for q in squares) and len({q.level for q in squares}) > 3
