@@ -18,6 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def released() -> None:
+    """Gives a worker's unused Arrow memory back: it lives on, and serves other stages beside the executor's heap."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value computed once: a lambda's variable is evaluated once, an expression at each mention."""
     return F.transform(F.array(value), body)[0]

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrant.llm.common import table, written
+from quadrant.llm.common import released, table, written
 from quadrant.llm.graphs import components
 
 SHINGLE, PERCENT = 5, 85
@@ -107,6 +107,8 @@ def _signed(band: int):
                 out["digest"] = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 out["bands"] = [next(keys) if len(s) else None for s in sets]
                 yield out.astype({"doc_id": "Int64", "n_shingles": "int64"})
+            released()
+        _hashes.clear()
 
     return run
 
@@ -118,6 +120,8 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sets = [shingles(t) for t in part.text]
             same = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == bytes(d) for s, d in zip(sets, part.digest, strict=True)]
             yield part[["node", "groups"]].assign(shingles=[s.tobytes() for s in sets])[same]
+        released()
+    _hashes.clear()
 
 
 def _linked(sets: list[np.ndarray], cross: np.ndarray | None, percent: int) -> list[tuple[int, int]]:

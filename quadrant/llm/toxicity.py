@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrant.llm.common import table, written
+from quadrant.llm.common import released, table, written
 
 SAMPLE, THRESHOLD = 20_000, 0.3
 SLOTS, PREFIXES = 1 << 22, (4, 5, 6)
@@ -223,13 +223,15 @@ def _scorer(weights: dict[int, float], bias: float):
                     got = telling.get(w)
                     if got is None:
                         got = tuple(s for s in slots_of(w) if s in weights)
-                        if got:
+                        if not got:
+                            if len(dull) < CACHE:
+                                dull.add(w)
+                        elif len(telling) < CACHE:
                             telling[w] = got
-                        elif len(dull) < CACHE:
-                            dull.add(w)
                     found.update(got)
                 out.append(bias + sum(weights[s] for s in sorted(found)))
             yield pd.Series(1 / (1 + np.exp(-np.clip(np.array(out, float), -40, 40))))
+            released()
 
     return score
 
