@@ -64,6 +64,31 @@ def projection_top(matrix: np.ndarray, f: str = "f") -> Column:
     return F.array_max(F.transform(columns, lambda column: F.abs(dot(column, F.col(f)))))
 
 
+def gram(rows: DataFrame, n: int, f: str = "f") -> DataFrame:
+    """i, j, value: sums of products of the i-th and the j-th feature, i <= j, from 1; one aggregate of a row."""
+    pairs = [(i, j) for i in range(1, n + 1) for j in range(i, n + 1)]
+    one = rows.agg(F.array(*[F.sum(F.element_at(f, i) * F.element_at(f, j)) for i, j in pairs]).alias("v"))
+    at = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])
+    return one.select(F.explode(F.arrays_zip(at.alias("at"), F.col("v").alias("v"))).alias("e")).select("e.at.i", "e.at.j", F.col("e.v").alias("value"))
+
+
+def independent(matrix: np.ndarray, tol: float = 1e-10) -> list[int]:
+    """Features, from 0, that span all of them, by Cholesky steps on a Gram matrix that take the largest rest first.
+
+    A feature whose rest is below tol of its own sum of squares depends on those taken.
+    """
+    rest, own, taken = np.array(matrix, float), np.diag(matrix).copy(), []
+    while len(taken) < len(rest):
+        share = np.where(own > 0, np.diag(rest) / np.where(own > 0, own, 1.0), 0.0)
+        share[taken] = 0.0
+        if share.max() <= tol:
+            break
+        k = int(np.where(share > tol, np.diag(rest), -1.0).argmax())
+        rest = rest - np.outer(rest[:, k], rest[k]) / rest[k, k]
+        taken.append(k)
+    return sorted(taken)
+
+
 class _Spread:
     """Locations in a DataFrame: loc_id, x, y, f."""
 
@@ -181,16 +206,21 @@ def _spaced(rows: _Spread, k: int, min_dist: float, seed: int):
     return chosen
 
 
-def _pivot(rows: _Spread, n: int, k: int, min_dist: float | None, tol: float, most: int, seed: int):
+def _pivot(rows: _Spread, names: list[str], k: int, min_dist: float | None, tol: float, most: int, seed: int):
     """Exchanges while some |a W| exceeds tol. B = A W is never stored: W is n x k, and pivoted rows are kept apart."""
+    n = len(names)
     chosen = _spaced(rows, k, min_dist, seed) if min_dist else rows.first(k)
     p = np.array([c[1] for c in chosen])
     if np.linalg.matrix_rank(p) < min(n, k):
+        sums = np.zeros((n, n))
+        for r in gram(rows.df, n).collect():
+            sums[r.i - 1, r.j - 1] = sums[r.j - 1, r.i - 1] = r.value
+        spanning = independent(sums)
+        if len(spanning) < n:
+            raise ValueError(f"the features are linearly dependent: {', '.join(names[i] for i in range(n) if i not in spanning)}")
         warnings.warn("the first rows don't span the features; chosen by leverage instead", stacklevel=4)
         chosen, _ = _greedy(rows, n, k, min_dist)
         p = np.array([c[1] for c in chosen])
-        if np.linalg.matrix_rank(p) < min(n, k):
-            raise ValueError("the features are linearly dependent")
     w, kept = np.linalg.pinv(p), {}
     for step in range(most):
         barred = chosen if min_dist else []
@@ -246,7 +276,7 @@ def d_optimal(df: DataFrame, n: int, features: list[str] | None = None, min_dist
     elif method == "coresets":
         chosen, steps = _coresets(rows, m, len(cols), n, min_dist)
     else:
-        chosen, converged, steps = _pivot(rows, len(cols), n, min_dist, tol, max_iters, seed)
+        chosen, converged, steps = _pivot(rows, [*names, "x", "y"][: len(cols)], n, min_dist, tol, max_iters, seed)
     picked = df.sparkSession.createDataFrame([(int(c[0]), k) for k, c in enumerate(chosen, 1)], "pick_id long, sample_id int")
     out = df.join(F.broadcast(picked), df.loc_id == picked.pick_id).drop("pick_id")
     return Samples(out, "maxvol", n, None, {"method": method, "features": ", ".join(names), "converged": converged, "iterations": steps})

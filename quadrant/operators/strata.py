@@ -222,7 +222,7 @@ def stratify(spark: SparkSession, where: Area | DataFrame, n_strata: int, priors
     if equal_area and priors:
         raise ValueError("equal-area strata can't have prior points")
     size = cell_size_of(area, n_cells, cell_size) if area is not None else None
-    cells = (grid(spark, area, n_cells, cell_size) if area is not None else where).persist()
+    cells = grid(spark, area, n_cells, cell_size).persist() if area is not None else where  # a table is its owner's to cache
     n = cells.count()
     if n == 0:
         raise ValueError("no cells in the study area")
@@ -232,7 +232,10 @@ def stratify(spark: SparkSession, where: Area | DataFrame, n_strata: int, priors
     if n_strata < len(prior):
         raise ValueError(f"{n_strata} strata are fewer than {len(prior)} prior points")
     if equal_area:
-        return _equal_area(cells, n, n_strata, max_iter, n_try, seed, size)
+        got = _equal_area(cells, n, n_strata, max_iter, n_try, seed, size)
+        if area is not None:
+            cells.unpersist()
+        return got
     tries = {t: _seeds(cells, n_strata, seed, t, prior) for t in range(n_try)}
     steps, labels, converged = dict.fromkeys(tries, 0), dict(tries), dict.fromkeys(tries, algorithm == "single_step")
     going, before, lloyd = dict(tries), None, _Lloyd(cells, longlat)
@@ -248,7 +251,8 @@ def stratify(spark: SparkSession, where: Area | DataFrame, n_strata: int, priors
         if not going:
             break
     scores = mean_squares(cells, tries, longlat)
-    cells.unpersist()
+    if area is not None:
+        cells.unpersist()
     best = min(scores, key=lambda t: (scores[t], t))
     if not converged[best]:
         warnings.warn(f"not converged in {max_iter} iterations", stacklevel=2)
@@ -268,7 +272,6 @@ def _equal_area(cells: DataFrame, n: int, k: int, most: int, n_try: int, seed: i
 
     found = {t: equal_strata(cells, _seeds(cells, k, seed, t, []), most) for t in range(n_try)}
     scores = mean_squares(cells, {t: f.means for t, f in found.items()}, False)
-    cells.unpersist()
     best = min(scores, key=lambda t: (scores[t], t))
     got = found[best]
     if not got.converged:

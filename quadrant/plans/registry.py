@@ -262,6 +262,12 @@ def linear_projection(s, d):
     return p.select("cell_id", _r(doptimal.projection_top(np.array([[0.25, 2.0], [-0.5, 0.125]]))).alias("score"))
 
 
+def gram_matrix(s, d):
+    """Sums of products of three features, from which rank repair finds those that span all."""
+    p = s.read.parquet(f"{d}/part.parquet").select(F.array(F.col("p_size").cast("double"), F.col("p_retailprice") / 100, (F.col("p_partkey") % 13).cast("double")).alias("f"))
+    return doptimal.gram(p, 3).select("i", "j", _r("value", 3).alias("value"))
+
+
 def uniform_draws(s, d):
     return parts(s, d).select("cell_id", uniform(23, "cell_id").alias("u"))
 
@@ -559,6 +565,7 @@ QUERIES: dict = {
     "min_dist_exclusion": (min_dist_exclusion, f"WITH {_PARTS}, {_fixed()} SELECT cell_id FROM p WHERE NOT EXISTS (SELECT 1 FROM c0 WHERE (x - cx) * (x - cx) + (y - cy) * (y - cy) < 144.0)"),
     "leverage_top": (leverage_top, f"WITH {_PARTS} SELECT cell_id, round(2 * x * x + 0.5 * x * y + 0.5 * y * y, 4) AS leverage FROM p ORDER BY 2 * x * x + 0.5 * x * y + 0.5 * y * y DESC, cell_id LIMIT 1"),
     "linear_projection": (linear_projection, f"WITH {_PARTS} SELECT cell_id, round(greatest(abs(x * 0.25 - y * 0.5), abs(x * 2.0 + y * 0.125)), 6) AS score FROM p"),
+    "gram_matrix": (gram_matrix, "WITH f AS (SELECT [CAST(p_size AS DOUBLE), p_retailprice / 100, CAST(p_partkey % 13 AS DOUBLE)] AS f FROM part) SELECT CAST(a AS INTEGER) AS i, CAST(b AS INTEGER) AS j, round(sum(f[a] * f[b]), 3) AS value FROM f, range(1, 4) x(a), range(1, 4) y(b) WHERE a <= b GROUP BY a, b"),
     "greedy_picks": (_greedy_picks, _picks_sql(PICKS)),
     "maxvol_greedy": (_maxvol("greedy"), None),
     "maxvol_coresets": (maxvol_coresets, None),
