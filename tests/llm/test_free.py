@@ -189,6 +189,26 @@ def test_evolution_beats_best_fit_on_hard_lengths(spark):
     assert packed_well(packing.pack(frame, cell=500).collect()) <= plain
 
 
+@pytest.mark.parametrize("lengths", [(2100, 4000), (900, 2100), (1, 4000)])
+def test_no_cell_grows_where_nothing_fills(spark, monkeypatch, lengths):
+    """Lengths that leave all bins unfilled, too: every level has bounded cells, and half of the pieces of the one before at most."""
+    rng, levels, islands = random.Random(2), [], packing.islands
+
+    def seen(rest, cells, level, capacity):
+        found = [r["count"] for r in rest.groupBy("island").count().collect()]
+        assert len(found) <= cells
+        levels.append(found)
+        return islands(rest, cells, level, capacity)
+
+    monkeypatch.setattr(packing, "islands", seen)
+    rows = [(k, 0, 0, rng.randint(*lengths), k) for k in range(3000)]
+    n = packed_well(packing.pack(spark.createDataFrame(rows, packing.PIECE), cell=128).collect())
+    plain = best_fit_decreasing([r[3] for r in rows])
+    assert max(map(max, levels)) <= 2 * 128 and len(levels[-1]) == 1
+    assert all(sum(b) <= sum(a) / 2 for a, b in zip(levels, levels[1:], strict=False))
+    assert n <= 1.03 * plain  # cells of 128 pieces hold uneven shares of the long ones; see test_cells_join for 200
+
+
 def test_crossovers_decide_on_the_given_data(spark, data):
     """Every island crosses, and some elite is fitter than its founders, on the driver's own documents."""
     rest = packing.pieces(spark.read.parquet(f"{data}/documents.parquet")).where("length < 4096").withColumn("island", F.col("doc_id") % 2)
