@@ -160,13 +160,28 @@ def listed(spans: Column) -> Column:
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """text with every span, or union of overlapping spans, replaced by mark. Spans by start.
 
-    Characters are cut into pieces at the spans' bounds, so no long string is copied again and again.
+    Spans go in chunks of about the root of their number m. A chunk's stretch of the text, from where the spans before it
+    end to where its own end, is cut out once and its pieces are cut from that, so characters are walked over about
+    2 * sqrt(m) times and not m times.
     """
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("got"))
-    step = lambda a, s: F.when(s["end"] <= a["at"], a).otherwise(F.struct(
-        s["end"].alias("at"), F.when(s["start"] >= a["at"], F.concat(a["got"], F.array(F.struct(a["at"].alias("start"), s["start"].alias("end"))))).otherwise(a["got"]).alias("got")))
-    pieces = lambda a: F.concat(F.transform(a["got"], lambda p: F.concat(F.substring(text, p["start"] + 1, p["end"] - p["start"]), F.lit(mark))), F.array(F.substring(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, let(F.aggregate(spans, none, step), lambda a: F.array_join(pieces(a), ""))).otherwise(text)
+
+    def pieces(part: Column, chunk: Column, start: Column) -> Column:
+        none = F.struct(start.alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("got"))
+        step = lambda a, s: F.when(s["end"] <= a["at"], a).otherwise(F.struct(
+            s["end"].alias("at"), F.when(s["start"] >= a["at"], F.concat(a["got"], F.array(F.struct(a["at"].alias("start"), s["start"].alias("end"))))).otherwise(a["got"]).alias("got")))
+        gaps = F.aggregate(chunk, none, step)["got"]
+        return F.array_join(F.transform(gaps, lambda p: F.concat(F.substring(part, p["start"] - start + 1, p["end"] - p["start"]), F.lit(mark))), "")
+
+    def joined(chunks: Column, tops: Column) -> Column:
+        before = lambda i: F.coalesce(F.array_max(F.slice(tops, F.lit(1), i)), F.lit(0))
+        out = F.transform(chunks, lambda c, i: let(before(i), lambda start: let(F.substring(text, start + 1, F.greatest(before(i + 1) - start, F.lit(0))), lambda part: pieces(part, c, start))))
+        return F.concat(F.array_join(out, ""), F.substring(text, F.array_max(tops) + 1, F.length(text)))
+
+    def cut(each: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / each).cast("int")), lambda i: F.slice(spans, i * each + 1, each))
+        return let(chunks, lambda c: let(F.transform(c, lambda part: F.array_max(F.transform(part, lambda s: s["end"]))), lambda tops: joined(c, tops)))
+
+    return F.when(F.size(spans) > 0, let(F.ceil(F.sqrt(F.size(spans).cast("double"))).cast("int"), cut)).otherwise(text)
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

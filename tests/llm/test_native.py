@@ -290,6 +290,34 @@ def test_redact_and_edges(spark, tiny, nothing):
     assert secrets.scan(nothing).count() == 0 and secrets.scan(tiny).count() == tiny.count()
 
 
+def test_redact_by_brute_force(spark):
+    """Spans that overlap, touch, repeat and lie within others, over texts of characters of one to four bytes."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(60):
+        text = "".join(rng.choices("aé€😀 \n", k=rng.choice([0, 1, 5, 60, 400])))
+        spans = sorted({(a, min(len(text), a + rng.choice([1, 2, 9, 80])), 0) for a in (rng.randrange(len(text)) for _ in range(rng.choice([0, 1, 3, 50])))}) if text else []
+        rows.append((i, text, spans))
+    got = {r.doc_id: r.out for r in spark.createDataFrame(rows, f"doc_id long, text string, spans {secrets.SPANS}").withColumn("out", secrets.redact(F.col("text"), F.col("spans"))).collect()}
+    for i, text, spans in rows:
+        at, out = 0, ""
+        for a, b, _ in spans:
+            if a >= at:
+                out += text[at:a] + "[SECRET]"
+            at = max(at, b)
+        assert got[i] == out + text[at:]
+
+
+def test_redact_of_many_spans(spark):
+    text = "".join(f"password=hunter{k} and words " for k in range(13_651))
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = secrets.scan(frame, keep=["text"]).cache()
+    assert found.where("size(spans) = 13651").count() == 1
+    began = time.monotonic()
+    out = found.select(secrets.redact(F.col("text"), F.col("spans")).alias("out")).first().out
+    assert time.monotonic() - began < 5 and out == "[SECRET] and words " * 13_651
+
+
 # chat
 
 
