@@ -3,11 +3,13 @@
 Texts with equal shingle sets are one class, and only one text a class goes on. Each of PERMUTATIONS hash functions
 gives two signature values, its minimum and its maximum over the set, so half as many evaluations give as long a
 signature; min and max of one permutation are negatively correlated, so the estimate is unbiased with lower variance.
-Bands of a few values key buckets; in a bucket each text is tied to the smallest, which gives candidate groups as
-connected components of a linear number of ties. Within a group all pairs are confirmed on full shingle sets, in pairs of
-blocks of bounded size, one task each, and a task returns a spanning forest of the links it finds, never all of them.
-A group too large for that is confirmed bucket by bucket instead. The links' components are the result: a text that
-no chain of links reaches stays alone. The threshold fixes the bands: 21 of 6 values at 0.85, 25 of 5 at 0.8, so that two
+Bands of a few values key buckets, of those with the same texts one stays. Texts that share a bucket are candidates, and one
+rule confirms them on full shingle sets, however many they are: of each bucket one text, the pivot, is compared with all
+others that no links tie to it yet, blocks of them a task, and leaves the bucket. What is tied together by then needs no
+further comparison, so a bucket of copies is done in a pass that grows with its size, and one of up to PIVOTS + 1 texts
+however alike. Where more texts stay apart, those of different components are compared in pairs of blocks of bounded size, one
+task each, and a task returns a spanning forest of the links it finds, never all of them. The links' components are the
+result: a text that no chain of links reaches stays alone. The threshold fixes the bands: 21 of 6 values at 0.85, 25 of 5 at 0.8, so that two
 texts at the threshold miss all of them with probability 5e-5, if values agree independently.
 """
 
@@ -28,8 +30,8 @@ from quadrant.llm.graphs import components
 SHINGLE, PERCENT = 5, 85
 #: MISS: chance at most, of two texts at the threshold to share no band.
 PERMUTATIONS, MISS = 64, 1e-4
-#: A block has about this many shingles, counting at least LEAST a text; a group of more than GROUP goes by buckets.
-BLOCK, LEAST, GROUP = 400_000, 1600, 40_000_000
+#: A block has about this many shingles, counting at least LEAST a text. Pivots are taken from a bucket so many times.
+BLOCK, LEAST, PIVOTS = 400_000, 1600, 2
 CACHE = 150_000
 MULTIPLIERS = (np.random.default_rng(7).integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 STEP, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -124,8 +126,8 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     _hashes.clear()
 
 
-def _linked(sets: list[np.ndarray], cross: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs with similarity of percent or more. cross: only pairs of rows that differ in it."""
+def _linked(sets: list[np.ndarray], cross: np.ndarray | None, label: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs with similarity of percent or more and two labels. cross: only pairs that differ in it."""
     n = len(sets)
     size = np.array([len(s) for s in sets])
     flat, owner = np.concatenate(sets), np.repeat(np.arange(n), size)
@@ -144,6 +146,7 @@ def _linked(sets: list[np.ndarray], cross: np.ndarray | None, percent: int) -> l
         common += m @ m.T  # counts under 2^24 are exact in 32 bits
     union = size[:, None] + size[None, :] - common
     near = np.triu(100.0 * common.astype(np.float64) >= percent * union.astype(np.float64), 1)
+    near &= label[:, None] != label[None, :]
     if cross is not None:
         near &= cross[:, None] != cross[None, :]
     root = list(range(n))
@@ -167,16 +170,37 @@ def _confirm(percent: int):
     """Links within one pair of blocks. The blocks of a pair are equal for links within a block."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node", kind="stable").drop_duplicates("node").reset_index(drop=True)
+        pdf = pdf.sort_values("node", kind="stable").drop_duplicates(["node", "shingles"]).reset_index(drop=True)
         sets = [np.frombuffer(b, np.uint64) for b in pdf.shingles]
         cross = pdf.own.to_numpy() if pdf.one.iat[0] != pdf.two.iat[0] else None
         node = pdf.node.to_numpy()
-        found = _linked(sets, cross, percent) if len(sets) > 1 else []
+        found = _linked(sets, cross, pdf.label.to_numpy(), percent) if len(sets) > 1 else []
         return pd.DataFrame({"a": [node[i] for i, _ in found], "b": [node[j] for _, j in found]}, dtype="int64")
 
     return run
 
 
+def _near_pivot(percent: int):
+    """Links of a pivot to texts of one block; the pivot's own row is among them."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates(["node", "shingles"])
+        own = (pdf["node"] == pdf["pivot"]).to_numpy()
+        pivots, rest = [np.frombuffer(b, np.uint64) for b in pdf.shingles[own]], pdf[~own]
+        near = np.zeros(len(rest), bool)
+        if len(rest):
+            sets = [np.frombuffer(b, np.uint64) for b in rest.shingles]
+            size, flat = np.array([len(s) for s in sets]), np.concatenate(sets)
+            starts = np.cumsum(size) - size
+            for pivot in pivots:  # more than one only where rows repeat an id with other texts
+                at = np.minimum(np.searchsorted(pivot, flat), len(pivot) - 1)
+                common = np.add.reduceat((pivot[at] == flat).astype(np.int64), starts)
+                near |= 100 * common >= percent * (size + len(pivot) - common)
+        return pd.DataFrame({"a": rest["pivot"][near].astype("int64"), "b": rest.node[near].astype("int64")})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text). percent: least similarity of a link.
 
@@ -194,32 +218,69 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """rows (key, node, digest and more) of buckets, of buckets with the same texts only one."""
+    marks = [F.bit_xor(F.xxhash64(*c)).alias(n) for n, c in (("m1", ["digest"]), ("m2", ["node", "digest"]))]
+    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), *marks).where("n > 1")
+    return rows.join(buckets.groupBy("n", "low", "m1", "m2").agg(F.min("key").alias("key")).select("key"), "key")
+
+
+def _with_sets(docs: DataFrame, places: DataFrame, kinds: str) -> DataFrame:
+    """places (node, digest and the fields of kinds), each with its shingles: a text is cut once, however many places it has."""
+    fields = [c.split()[0] for c in kinds.split(", ")]
+    each = written(places.groupBy("node", "digest").agg(F.collect_list(F.struct(*fields)).alias("groups")), "dedup-places")  # two a band at most
+    texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(each, F.col("doc_id") == F.col("node"))
+    groups = ",".join(c.replace(" ", ":") for c in kinds.split(", "))
+    sets = texts.select("node", "digest", "text", "groups").mapInPandas(_sets, f"node long, groups array<struct<{groups}>>, shingles binary")
+    return sets.select("node", F.explode("groups").alias("g"), "shingles").select("node", "g.*", "shingles")
+
+
+def _blocks(weight: str) -> list:
+    """n, how many blocks texts of this weight take together, and own, that of a text."""
+    n = F.ceil(F.col(weight) / BLOCK).cast("int")
+    return [n.alias("n"), F.pmod(F.xxhash64("node"), n).cast("int").alias("own")]
+
+
+def _tried(docs: DataFrame, left: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links of the buckets' pivots to texts of other labels."""
+    pairs = left.join(pivots, "key").where("label <> pivot_label")
+    # the smaller set is at most the intersection, the larger one at least the union
+    fits = 100 * F.least("n_shingles", "pivot_shingles") >= percent * F.greatest("n_shingles", "pivot_shingles")
+    pairs = written(pairs.where(fits).select("pivot", "pivot_digest", "node", "digest", "n_shingles").distinct(), "dedup-pairs")
+    totals = pairs.groupBy("pivot").agg(F.sum(F.greatest("n_shingles", F.lit(LEAST))).alias("total"))
+    others = pairs.select("pivot", "node", "digest").distinct().join(totals, "pivot").select("node", "digest", "pivot", *_blocks("total"))
+    # a pivot goes to all of its blocks
+    own = pairs.select("pivot", F.col("pivot_digest").alias("digest")).distinct().join(totals, "pivot").select(F.col("pivot").alias("node"), "digest", "pivot", *_blocks("total")[:1], F.lit(-1).alias("own"))
+    sets = _with_sets(docs, others.unionByName(own), "pivot long, n int, own int")
+    block = F.when(F.col("own") < 0, F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array("own"))
+    sets = sets.select("node", "pivot", F.explode(block).alias("block"), "shingles")
+    return sets.groupBy("pivot", "block").applyInPandas(_near_pivot(percent), "a long, b long")
+
+
 def _links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(a, b): links that connect what full-set similarity connects among the classes that share a band."""
-    keyed = classes.select("node", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    tied = written(keyed.join(buckets, "key").select("node", "key", "hub"), "dedup-buckets")
-    groups = components(tied.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
-    weighed = classes.select("node", "digest", F.greatest("n_shingles", F.lit(LEAST)).alias("w")).join(groups, "node")
-    weighed = written(weighed, "dedup-groups")
-    totals = weighed.groupBy("component").agg(F.sum("w").alias("total"))
-    member = weighed.join(totals, "component").withColumn("large", F.col("total") > GROUP)
-    # of a group too large, the buckets
-    by_bucket = tied.join(member.where("large").select("node", "digest", "w"), "node").select("node", "digest", "w", F.col("key").alias("group"))
-    bucket_totals = by_bucket.groupBy("group").agg(F.sum("w").alias("total"))
-    by_bucket = by_bucket.join(bucket_totals, "group")
-    by_group = member.where("NOT large").select("node", "digest", "w", F.col("component").alias("group"), "total")
-    both = by_group.withColumn("kind", F.lit(0)).unionByName(by_bucket.withColumn("kind", F.lit(1)))
-    n = F.ceil(F.col("total") / BLOCK).cast("int")
-    both = both.withColumns({"n": n, "own": F.pmod(F.xxhash64("node"), n).cast("int")})
-    places = both.groupBy("node", "digest").agg(F.collect_list(F.struct("kind", "group", "n", "own")).alias("groups"))  # at most one a band for each node
-    texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(places, F.col("doc_id") == F.col("node"))
-    sets = texts.select("node", "digest", "text", "groups").mapInPandas(_sets, "node long, groups array<struct<kind:int,group:long,n:int,own:int>>, shingles binary")
-    sets = sets.select("node", F.explode("groups").alias("g"), "shingles").select("node", "g.*", "shingles")
+    left = _once(classes.select("node", "digest", "n_shingles", F.explode("bands").alias("key")))
+    left = written(left.withColumn("label", F.col("node")), "dedup-buckets")
+    links = left.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    for _ in range(PIVOTS):
+        # the smallest text of a bucket's smallest component
+        least = left.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "digest", "n_shingles")).alias("p")).groupBy("key").agg(F.min(F.struct("n", "p", "label")).alias("x"))
+        pivots = written(least.select("key", F.col("x.p.node").alias("pivot"), F.col("x.p.digest").alias("pivot_digest"), F.col("x.p.n_shingles").alias("pivot_shingles"), F.col("x.label").alias("pivot_label")), "dedup-pivots")
+        links = written(links.unionByName(_tried(docs, left, pivots, percent)), "dedup-links")
+        rest = left.join(pivots.select("key", "pivot_digest"), "key").where("digest <> pivot_digest").drop("pivot_digest", "label")
+        rest = written(rest.join(components(links), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"), "dedup-rest")
+        apart = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+        left = written(rest.join(apart, "key"), "dedup-buckets")
+        if left.isEmpty():
+            return links
+    left = written(_once(left), "dedup-buckets")
+    totals = left.groupBy("key").agg(F.sum(F.greatest("n_shingles", F.lit(LEAST))).alias("total"))
+    places = left.join(totals, "key").select("node", "digest", "key", "label", *_blocks("total"))
+    sets = _with_sets(docs, places, "key long, label long, n int, own int")
     # each block meets each other block, and itself
     sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    sets = sets.select("node", "kind", "group", "own", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "shingles")
-    return sets.groupBy("kind", "group", "one", "two").applyInPandas(_confirm(percent), "a long, b long")
+    sets = sets.select("node", "key", "label", "own", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "shingles")
+    return links.unionByName(sets.groupBy("key", "one", "two").applyInPandas(_confirm(percent), "a long, b long"))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -269,11 +269,12 @@ def copies(seed=5, groups=6, each=30):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_near_duplicates_by_brute_force(spark, monkeypatch, small):
-    if small:  # many blocks, and groups that go by buckets
-        monkeypatch.setattr(near_dedup, "BLOCK", 16_000)
-        monkeypatch.setattr(near_dedup, "GROUP", 60_000)
+@pytest.mark.parametrize(("block", "pivots"), [(None, 2), (16_000, 2), (16_000, 1), (None, 0)])
+def test_near_duplicates_by_brute_force(spark, monkeypatch, block, pivots):
+    """Whether pivots settle buckets or pairs of blocks do, in many blocks or one, links are the same."""
+    monkeypatch.setattr(near_dedup, "PIVOTS", pivots)
+    if block:
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
     rows = copies()
     got = {r.doc_id: r for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept", F.lit(1)).withColumn("node", F.lit(1))).collect()}
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == brute_components(rows)
