@@ -121,7 +121,7 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             part = pdf.iloc[at : at + 64]
             sets = [shingles(t) for t in part.text]
             same = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == bytes(d) for s, d in zip(sets, part.digest, strict=True)]
-            yield part[["node", "groups"]].assign(shingles=[s.tobytes() for s in sets])[same]
+            yield part[["node", "digest"]].assign(shingles=[s.tobytes() for s in sets])[same]
         released()
     _hashes.clear()
 
@@ -225,14 +225,10 @@ def _once(rows: DataFrame) -> DataFrame:
     return rows.join(buckets.groupBy("n", "low", "m1", "m2").agg(F.min("key").alias("key")).select("key"), "key")
 
 
-def _with_sets(docs: DataFrame, places: DataFrame, kinds: str) -> DataFrame:
-    """places (node, digest and the fields of kinds), each with its shingles: a text is cut once, however many places it has."""
-    fields = [c.split()[0] for c in kinds.split(", ")]
-    each = written(places.groupBy("node", "digest").agg(F.collect_list(F.struct(*fields)).alias("groups")), "dedup-places")  # two a band at most
-    texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(each, F.col("doc_id") == F.col("node"))
-    groups = ",".join(c.replace(" ", ":") for c in kinds.split(", "))
-    sets = texts.select("node", "digest", "text", "groups").mapInPandas(_sets, f"node long, groups array<struct<{groups}>>, shingles binary")
-    return sets.select("node", F.explode("groups").alias("g"), "shingles").select("node", "g.*", "shingles")
+def _cut(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """node, digest, shingles of the classes (node, digest); texts are read and cut here only, not once a pass."""
+    texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(classes.hint("shuffle_hash"), F.col("doc_id") == F.col("node"))
+    return written(texts.select("node", "digest", "text").mapInPandas(_sets, "node long, digest binary, shingles binary"), "dedup-sets")
 
 
 def _blocks(weight: str) -> list:
@@ -241,7 +237,7 @@ def _blocks(weight: str) -> list:
     return [n.alias("n"), F.pmod(F.xxhash64("node"), n).cast("int").alias("own")]
 
 
-def _tried(docs: DataFrame, left: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
+def _tried(sets: DataFrame, left: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
     """(a, b): links of the buckets' pivots to texts of other labels."""
     pairs = left.join(pivots, "key").where("label <> pivot_label")
     # the smaller set is at most the intersection, the larger one at least the union
@@ -251,7 +247,7 @@ def _tried(docs: DataFrame, left: DataFrame, pivots: DataFrame, percent: int) ->
     others = pairs.select("pivot", "node", "digest").distinct().join(totals, "pivot").select("node", "digest", "pivot", *_blocks("total"))
     # a pivot goes to all of its blocks
     own = pairs.select("pivot", F.col("pivot_digest").alias("digest")).distinct().join(totals, "pivot").select(F.col("pivot").alias("node"), "digest", "pivot", *_blocks("total")[:1], F.lit(-1).alias("own"))
-    sets = _with_sets(docs, others.unionByName(own), "pivot long, n int, own int")
+    sets = sets.join(others.unionByName(own).hint("shuffle_hash"), ["node", "digest"])
     block = F.when(F.col("own") < 0, F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array("own"))
     sets = sets.select("node", "pivot", F.explode(block).alias("block"), "shingles")
     return sets.groupBy("pivot", "block").applyInPandas(_near_pivot(percent), "a long, b long")
@@ -261,12 +257,13 @@ def _links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(a, b): links that connect what full-set similarity connects among the classes that share a band."""
     left = _once(classes.select("node", "digest", "n_shingles", F.explode("bands").alias("key")))
     left = written(left.withColumn("label", F.col("node")), "dedup-buckets")
+    sets = _cut(docs, left.select("node", "digest").distinct())
     links = left.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     for _ in range(PIVOTS):
         # the smallest text of a bucket's smallest component
         least = left.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "digest", "n_shingles")).alias("p")).groupBy("key").agg(F.min(F.struct("n", "p", "label")).alias("x"))
         pivots = written(least.select("key", F.col("x.p.node").alias("pivot"), F.col("x.p.digest").alias("pivot_digest"), F.col("x.p.n_shingles").alias("pivot_shingles"), F.col("x.label").alias("pivot_label")), "dedup-pivots")
-        links = written(links.unionByName(_tried(docs, left, pivots, percent)), "dedup-links")
+        links = written(links.unionByName(_tried(sets, left, pivots, percent)), "dedup-links")
         rest = left.join(pivots.select("key", "pivot_digest"), "key").where("digest <> pivot_digest").drop("pivot_digest", "label")
         rest = written(rest.join(components(links), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"), "dedup-rest")
         apart = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
@@ -276,7 +273,7 @@ def _links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     left = written(_once(left), "dedup-buckets")
     totals = left.groupBy("key").agg(F.sum(F.greatest("n_shingles", F.lit(LEAST))).alias("total"))
     places = left.join(totals, "key").select("node", "digest", "key", "label", *_blocks("total"))
-    sets = _with_sets(docs, places, "key long, label long, n int, own int")
+    sets = sets.join(places.hint("shuffle_hash"), ["node", "digest"])
     # each block meets each other block, and itself
     sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     sets = sets.select("node", "key", "label", "own", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "shingles")
