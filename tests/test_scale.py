@@ -96,6 +96,32 @@ def test_equal_sizes_of_crowded_cells_have_a_certificate(spark):
     assert sorted(r.n_cells for r in found) == [75, 75, 76, 76] and sum(r.n_cheaper for r in found) == 0
 
 
+def test_equal_sizes_of_many_copies_take_few_jobs(spark):
+    """Hundreds of cells in each place of a lattice, and two seeds in one place: jobs don't grow with the cells to move."""
+    cells = spark.range(60 * 400).selectExpr("id AS cell_id", "double(id % 20) AS x", "double(id % 400 div 20) AS y")
+    spark.sparkContext.setJobGroup("copies", "copies")
+    got = balance.equal_strata(cells, [(3.0, 3.0), (3.0, 3.0), (15.0, 4.0), (2.0, 17.0), (9.0, 9.0), (17.0, 17.0), (11.0, 2.0)], 1)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("copies"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    found = {r.stratum_id: (r.n_cells, r.n_cheaper) for r in balance.certificate(got, cells).collect()}
+    assert found == {k: (n, 0) for k, n in enumerate(balance.capacities(24000, 7), 1)} and jobs < 40
+
+
+def test_chains_are_cheapest():
+    """Against the least sum over all ways to deal seven places, some of several cells, to three strata."""
+    from itertools import product
+
+    rng = np.random.default_rng(4)
+    for _ in range(5):
+        d2, weight = rng.integers(0, 30, (7, 3)).astype(float), rng.integers(1, 3, 7)
+        each = np.repeat(np.arange(7), weight)
+        want = np.array(balance.capacities(len(each), 3))
+        least = min(d2[each, list(w)].sum() for w in product(range(3), repeat=len(each)) if (np.bincount(w, minlength=3) == want).all())
+        prices, share = balance._settled(d2, weight, want, np.zeros(3))
+        assert (share.sum(0) == want).all() and (share.sum(1) == weight).all() and (share * d2).sum() == least
+        assert ((d2 + prices)[share > 0] <= np.repeat((d2 + prices).min(1)[:, None], 3, 1)[share > 0] + 1e-9).all()
+
+
 def test_capacities():
     assert balance.capacities(10, 4) == [3, 3, 2, 2] and balance.capacities(3, 3) == [1, 1, 1]
 
