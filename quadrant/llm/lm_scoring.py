@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrant.llm.common import table, written
+from quadrant.llm.common import released, table, written
 
 #: log2 of the slots by context: 0, 1, 2, 3, 4 bytes, the whole word so far. Four bits in a row lie in 16 slots together.
 SLOT_BITS = (10, 17, 20, 20, 21, 22)
@@ -219,6 +219,7 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     back = np.empty(len(words), "<i4")
     back[order] = np.arange(len(words))
     own, times = back[np.concatenate(own)], times[order]
+    released()
     squeeze = lambda x: zlib.compress(x.tobytes(), 1)
     return pd.DataFrame({"share": [int(pdf.share.iat[0])], "words": [zlib.compress(b" ".join(words), 1)], "times": [squeeze(times)], "blocks": [pdf.block.tolist()], "sizes": [sizes], "own": [squeeze(own)], "idx": [zlib.compress(b"".join(map(zlib.decompress, pdf.idx)), 1)]})
 
@@ -257,16 +258,11 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     seen, some = np.zeros(2 * OFFSETS[-1], np.float32), False
     for share in _shares(batches):
         for words in _batches(share.trained):
-            some, at, times, n = True, [], [], 0
+            some = True
             for _, _, weight, slots, _, bit in Coder(words).bits():
-                at.append((2 * slots + bit).astype(np.int32).ravel())
-                times.append(np.broadcast_to(weight.astype(np.float32), slots.shape).ravel())
-                n += slots.size
-                if n > 4_000_000:
-                    seen += np.bincount(np.concatenate(at), np.concatenate(times), len(seen)).astype(np.float32)
-                    at, times, n = [], [], 0
-            if n:
-                seen += np.bincount(np.concatenate(at), np.concatenate(times), len(seen)).astype(np.float32)
+                weight = weight.astype(np.float32)
+                for line in slots:  # in place: a sum over all slots for some words would need several times the table's memory
+                    np.add.at(seen, 2 * line + bit, weight)
     for a in range(0, len(seen) if some else 0, CHUNK):
         part = seen[a : a + CHUNK]
         if part.any():
@@ -307,8 +303,10 @@ def _learn(model, bits: int, top: np.ndarray):
         for share in _shares(batches):
             steps = [step for words in _batches(share.trained) for step in _spelling_steps(model.value, words)]
             spelling = _online(steps, np.full((GATES, CONTEXTS), 0.3, np.float32), RATE, 256)
+            del steps  # else both lists are held at once
             steps = [step for _, tree in share.trees(bits, top) for step in _tree_steps(tree)]
             known = _online(steps, _tree_first(), TREE_RATE, TREE_GATES)
+            del steps
             out = pd.concat([spelling.assign(mix=np.int8(0)), known.assign(mix=np.int8(1))])
             yield out.astype({"mix": "int32"})
 

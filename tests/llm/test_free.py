@@ -496,6 +496,28 @@ def test_two_passes_of_learning():
     assert np.abs(weights - (lm_scoring._tree_first() * heard[:, None]).ravel()).max() > 0
 
 
+def test_counting_bits_takes_little_more_than_its_table(monkeypatch):
+    """Counts are added in place; as sums over all slots for some words they took five times the table."""
+    import tracemalloc
+
+    class Some:
+        trained = [b"w%d" % k for k in range(2000)] + [b"w7x"]
+
+    monkeypatch.setattr(lm_scoring, "_shares", lambda batches: iter([Some]))
+    tracemalloc.start()
+    found = list(lm_scoring._count(iter([])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = np.zeros(2 * lm_scoring.OFFSETS[-1])
+    for _, _, weight, slots, _, bit in lm_scoring.Coder(Some.trained).bits():
+        want += np.bincount((2 * slots + bit).ravel(), np.broadcast_to(weight, slots.shape).ravel(), len(want))
+    got = np.zeros(len(want))
+    for f in found:
+        part = np.frombuffer(zlib.decompress(f.counts.iat[0]), "<f4")
+        got[f.chunk.iat[0] * lm_scoring.CHUNK :][: len(part)] = part
+    assert (got == want).all() and peak < 2 * 4 * len(want)
+
+
 def test_scores_beat_the_base_on_new_texts(spark):
     rng = random.Random(6)
     parts = {"en": ["th", "er", "ing", "on", "an", "re"], "de": ["sch", "ei", "en", "ung", "zu", "au"]}
