@@ -15,8 +15,15 @@ Which class a text is taken for follows the text: the classes' shares in it come
 probability is the mean of its probabilities by class, weighted so. A known word may be spelled too, so that after any
 beginning of a text the probabilities of all words and of its end add up to 1. The sum over a text is its total in bits.
 
-No context but the class reaches beyond the word, so each distinct word is coded once for each class, however often it
-occurs, and texts are sums over their words. Everything is learned from all training texts: counts are sums over them;
+- Words before. Ahead of that, up to two bits say whether a word is the one that last came, in the text so far, after the
+  same two words before it, and whether it is the one that last came after the same one. Contexts are the two words, the
+  one word and the text, each with how often it was right and wrong so far; their log odds are mixed by weights that a gate
+  chooses (which bit, how often its context was tried, whether both say the same), and refined as above. A word foretold
+  may be coded without these bits' yes too, so chances still add up to 1.
+
+So each distinct word is coded once for each class, however often it occurs, and a text's tokens then take their
+prices by their contexts. Counts of word pairs over different texts are not kept. Weights of the bits for words before are
+those of the best fit over all tokens of training texts, which is found from how often each of CELLS states came. Everything is learned from all training texts: counts are sums over them;
 weights are learned online, by gradient steps in passes over the distinct words, each share of them (by hash, whatever the
 partitions) by itself, and averaged. A word's own occurrence is taken off the counts while it trains weights (leave one
 out). The spelling model has a fixed size (SLOT_BITS), which bounds what is broadcast; of the tree only its top, of at
@@ -60,6 +67,12 @@ TREE_GATES, TREE_RATE, CHUNK_WORDS = KINDS * (len(SEEN) + 1), 0.3, 2048
 #: Bytes of text for each share of the words, more or less; buckets of the tree in a share, and the most levels above
 #: buckets, as powers of two.
 SHARE_BYTES, SHARE_BUCKETS, MOST_TOP = 32_000_000, 4, 20
+#: Bits of words before: log odds are rounded to whole numbers up to ODDS_MOST either way, a context's tries are told apart from
+#: these on; tokens looked at together (one text is never cut).
+ODDS_MOST, TRIED, TOKENS = 6, (1, 2, 4), 1 << 17
+ODDS = 2 * ODDS_MOST + 1
+BEFORE_GATES = 2 * 2 * (len(TRIED) + 1)
+CELLS = BEFORE_GATES * ODDS**3
 TIMES = [f"t{k}" for k in range(CLASSES + 1)]
 PRICES = [f"p{k}" for k in range(CLASSES + 1)]
 BLOCK = "block long, id string, held_out boolean, n_bytes long, idx binary, share long, words binary, times binary"
@@ -546,15 +559,126 @@ def mixed(price: np.ndarray, shares: np.ndarray) -> np.ndarray:
     return best + np.log10((gate * 10.0 ** (price - best[:, None])).sum(1))
 
 
-def _sum_up(tokens: int, distinct: int, shares: np.ndarray):
+def _follows(key: np.ndarray, tokens: np.ndarray):
+    """By token: a number of its context (key); the token that came last in the same context, -1 for none; how often such
+    was tried in this context before, and was right; and whether it is right now."""
+    order = np.argsort(key, kind="stable")
+    ordered, token = key[order], tokens[order]
+    first = np.r_[True, ordered[1:] != ordered[:-1]]
+    group, start = np.cumsum(first) - 1, np.flatnonzero(first)
+    last = np.where(first, -1, np.r_[-1, token[:-1]])
+    hit = last == token
+    right = np.cumsum(hit) - hit
+    right -= right[start][group]
+    tried = np.maximum(np.arange(len(key)) - start[group] - 1, 0)
+    out = [np.empty(len(key), x.dtype) for x in (group, last, tried, right, hit)]
+    for x, y in zip(out, (group, last, tried, right, hit), strict=True):
+        x[order] = y
+    return out
+
+
+def _rounded(right: np.ndarray, tried: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(np.log((right + 0.4) / (tried - right + 0.4))), -ODDS_MOST, ODDS_MOST).astype(np.int64) + ODDS_MOST
+
+
+def words_before(tokens: np.ndarray, sizes: list[int]):
+    """The bits of words before, of some texts' tokens: (whether it is coded, its cell, whether it is a yes) by token, for the
+    two words before, then for the one. The second is not coded where it would ask for the same word again; after a yes of
+    the first it isn't needed."""
+    start = np.cumsum([0, *sizes[:-1]])
+    text, width = np.repeat(np.arange(len(sizes)), sizes), int(tokens.max(initial=0)) + 2
+    before = np.r_[-1, tokens[:-1]].astype(np.int64)
+    before[start] = width - 1
+    one, *after_one = _follows(text * width + before, tokens)
+    earlier = np.r_[0, one[:-1]]  # the two words are the one before and the context that it came in
+    earlier[start] = one[start]
+    _, *after_two = _follows(earlier * width + before, tokens)
+
+    def in_text(x: np.ndarray) -> np.ndarray:
+        so_far = np.cumsum(x) - x
+        return so_far - so_far[start][text]
+
+    def bit(own, other, coded, flag, kind):
+        last, tried, right, hit = own
+        shown = np.where(flag if kind == 0 else other[0] >= 0, _rounded(other[2], other[1]), ODDS_MOST)
+        gate = (kind * 2 + flag) * (len(TRIED) + 1) + np.searchsorted(TRIED, tried, "right")
+        cell = ((gate * ODDS + _rounded(right, tried)) * ODDS + shown) * ODDS + _rounded(in_text(hit), in_text(last >= 0))
+        return coded, cell, hit
+
+    same = after_one[0] == after_two[0]
+    two_known = after_two[0] >= 0
+    return bit(after_two, after_one, two_known, same, 0), bit(after_one, after_two, (after_one[0] >= 0) & ~same, two_known, 1)
+
+
+def _together(idx) -> Iterator[list[np.ndarray]]:
+    """Texts' words' numbers, of some texts at a time."""
+    some, n = [], 0
+    for x in idx:
+        i = np.frombuffer(zlib.decompress(x), "<i4")
+        if some and n + len(i) > TOKENS:
+            yield some
+            some, n = [], 0
+        some.append(i)
+        n += len(i)
+    if some:
+        yield some
+
+
+def _count_before(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How often each cell's bit was coded, and was a yes, in some texts."""
+    times = np.zeros((2, CELLS), np.int64)
+    for pdf in batches:
+        for texts in _together(pdf.idx):
+            two, one = words_before(np.concatenate(texts), list(map(len, texts)))
+            for (coded, cell, hit), on in ((two, two[0]), (one, one[0] & ~(two[0] & two[2]))):
+                times[0] += np.bincount(cell[on], minlength=CELLS)
+                times[1] += np.bincount(cell[on & hit], minlength=CELLS)
+    at = np.flatnonzero(times[0])
+    yield pd.DataFrame({"cell": at.astype(np.int32), "n": times[0, at], "yes": times[1, at]})
+
+
+def _fit_before(cell: np.ndarray, n: np.ndarray, yes: np.ndarray) -> np.ndarray:
+    """The chance of a yes by cell: the contexts' odds mixed by each gate's best weights (Newton steps), and refined."""
+    times, ones = np.zeros(CELLS), np.zeros(CELLS)
+    times[cell], ones[cell] = n, yes
+    gate, own, other, text = np.unravel_index(np.arange(CELLS), (BEFORE_GATES, ODDS, ODDS, ODDS))
+    x = np.stack([own - ODDS_MOST, other - ODDS_MOST, text - ODDS_MOST, np.ones(CELLS)], 1).astype(float)
+    first, chance = np.array([0.7, 0.2, 0.1, -1.0]), np.empty(CELLS)
+    plain = _squash((np.arange(BUCKETS) - BUCKETS // 2) / 2)
+    for g in range(BEFORE_GATES):
+        on = gate == g
+        a, t, o, w = x[on], times[on], ones[on], first.copy()
+        for _ in range(30):
+            p = _squash(a @ w)
+            step = np.linalg.solve((a.T * (t * p * (1 - p))) @ a + np.eye(4), a.T @ (t * p - o) + w - first)
+            w -= step * min(1.0, 1 / max(np.abs(step).max(), 1e-12))
+        z = a @ w
+        at = _bucket(z)
+        refined = (np.bincount(at, o, BUCKETS) + 8 * plain) / (np.bincount(at, t, BUCKETS) + 8)
+        chance[on] = np.clip((_squash(z) + refined[at]) / 2, 1e-5, 1 - 1e-5)
+    return chance
+
+
+def with_words_before(price: np.ndarray, tokens: np.ndarray, sizes: list[int], chance: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each token of some texts. price: that without the bits of words before."""
+    for coded, cell, hit in reversed(words_before(tokens, sizes)):
+        without = price + np.log10(1 - chance[cell])
+        foretold = np.logaddexp(without * np.log(10), np.log(chance[cell])) / np.log(10)
+        price = np.where(coded, np.where(hit, foretold, without), price)
+    return price
+
+
+def _sum_up(tokens: int, distinct: int, shares: np.ndarray, chance: np.ndarray):
     def run(texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         idx, c, price = (np.concatenate([np.frombuffer(x, t) for x in parts]) for parts, t in ((map(zlib.decompress, words.idx), "<i4"), (map(zlib.decompress, words.counts), "<i8"), (words.prices, "<f4")))
         place = np.argsort(idx)
         price, c = price.reshape(-1, KINDS)[place].astype(np.float64), c[place]
         base, out = np.log10((c + 0.5) / (tokens + 0.5 * (distinct + 1))), []
-        for idx in texts.idx:
-            i = np.frombuffer(zlib.decompress(idx), "<i4")
-            out.append((len(i), int((c[i] > 0).sum()), float(base[i].sum()), float(mixed(price[i], shares).sum())))
+        for some in _together(texts.idx):
+            sizes = list(map(len, some))
+            each = with_words_before(np.concatenate([mixed(price[i], shares) for i in some]), np.concatenate(some), sizes, chance)
+            totals = np.add.reduceat(each, np.cumsum([0, *sizes[:-1]]))
+            out += [(len(i), int((c[i] > 0).sum()), float(base[i].sum()), float(x)) for i, x in zip(some, totals, strict=True)]
         frame = pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score", "score"])
         return pd.concat([texts[["id", "held_out", "n_bytes"]].reset_index(drop=True), frame], axis=1).assign(train_tokens=tokens)
 
@@ -593,7 +717,10 @@ def score(docs: DataFrame, held: Column, kind: str | None = "lang") -> DataFrame
     model, spelling, mixer = fit(spread("words", "times"), 1 << apart, bits, top)
     costs = spread("words", "times", "blocks", "sizes", "own", "idx").mapInPandas(_price(model, spelling, bits, top, mixer, new), "block long, idx binary, counts binary, prices binary")
     texts = blocks.where("share IS NULL").select("block", "id", "held_out", "n_bytes", "idx")
-    out = texts.groupBy("block").cogroup(costs.groupBy("block")).applyInPandas(_sum_up(tokens, distinct, of_class), "id string, held_out boolean, n_bytes long, n_tokens long, n_known long, base_score double, score double, train_tokens long")
+    cells = texts.where("NOT held_out").select("idx").mapInPandas(_count_before, "cell int, n long, yes long")
+    seen = cells.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("yes").alias("yes")).toPandas()  # CELLS rows at most
+    chance = _fit_before(*(seen[c].to_numpy() for c in ("cell", "n", "yes")))
+    out = texts.groupBy("block").cogroup(costs.groupBy("block")).applyInPandas(_sum_up(tokens, distinct, of_class, chance), "id string, held_out boolean, n_bytes long, n_tokens long, n_known long, base_score double, score double, train_tokens long")
     total_bits = -F.col("score") * float(np.log2(10))
     return out.select(F.col("id").cast("long").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", total_bits.alias("bits"), (total_bits / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"))
 

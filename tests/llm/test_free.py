@@ -496,6 +496,75 @@ def test_two_passes_of_learning():
     assert np.abs(weights - (lm_scoring._tree_first() * heard[:, None]).ravel()).max() > 0
 
 
+def brute_before(text, chance, word=None):
+    """(cells of the two bits, chance of the next word given its chance without them as a function) after each beginning."""
+    out = []
+    for t in range(len(text)):
+        tries = []
+        for order in (2, 1):
+            context = lambda i: tuple(text[i - k] if i >= k else None for k in range(1, order + 1))  # noqa: B023, E731
+            came = lambda upto: [i for i in range(upto) if context(i) == context(upto)]  # noqa: B023, E731
+            guess = lambda i: text[came(i)[-1]] if came(i) else None  # noqa: B023, E731
+            mine = [i for i in came(t) if guess(i) is not None]
+            every = [i for i in range(t) if guess(i) is not None]
+            odds = [min(max(round(math.log((r + 0.4) / (len(x) - r + 0.4))), -6), 6) + 6 for x in (mine, every) for r in [sum(guess(i) == text[i] for i in x)]]
+            tries.append((guess(t), *odds, sum(len(mine) >= k for k in lm_scoring.TRIED)))
+        (two, own2, all2, n2), (one, own1, all1, n1) = tries
+        cell = lambda kind, flag, n, own, other, every: ((((kind * 2 + flag) * 4 + n) * 13 + own) * 13 + other) * 13 + every
+        a = None if two is None else cell(0, one == two, n2, own2, own1 if one == two else 6, all2)
+        b = None if one is None or one == two else cell(1, two is not None, n1, own1, own2 if two is not None else 6, all1)
+
+        def whole(w, p, a=a, b=b, two=two, one=one):
+            if b is not None:
+                p = (1 - chance[b]) * p + chance[b] * (w == one)
+            return p if a is None else (1 - chance[a]) * p + chance[a] * (w == two)
+
+        out.append((a, b, whole))
+    return out
+
+
+def test_words_before_by_brute_force():
+    """Cells, counts and chances of the bits of words before; chances of all next words still sum to 1."""
+    import pandas as pd
+
+    rng = np.random.default_rng(8)
+    texts = [[0], [1, 1, 1, 1, 0], [2, 3, 4, 2, 3, 4, 2, 3, 5, 0], *[[*rng.integers(1, 4, 40).tolist(), 0] for _ in range(4)]]
+    chance, plain = rng.uniform(0.05, 0.6, lm_scoring.CELLS), rng.dirichlet(np.ones(6))
+    tokens, sizes = np.concatenate(texts).astype("<i4"), list(map(len, texts))
+    got = lm_scoring.with_words_before(np.log10(plain[tokens]), tokens, sizes, chance)
+    want, times = [], Counter()
+    for text in texts:
+        for w, (a, b, whole) in zip(text, brute_before(text, chance), strict=True):
+            assert sum(whole(v, plain[v]) for v in range(6)) == pytest.approx(1)
+            want.append(math.log10(whole(w, plain[w])))
+    for text in texts:
+        for t, (a, b, _) in enumerate(brute_before(text, chance)):
+            yes = lambda order: text[max(i for i in range(t) if i >= 0 and [text[i - k] if i >= k else None for k in range(1, order + 1)] == [text[t - k] if t >= k else None for k in range(1, order + 1)])] == text[t]  # noqa: B023, E731
+            hit = a is not None and yes(2)
+            if a is not None:
+                times[a, hit] += 1
+            if b is not None and not hit:
+                times[b, yes(1)] += 1
+    assert got == pytest.approx(np.array(want))
+    row = pd.DataFrame({"idx": [zlib.compress(np.array(t, "<i4").tobytes()) for t in texts]})
+    found = next(lm_scoring._count_before(iter([row])))
+    assert {(r.cell, h): k for r in found.itertuples() for h, k in ((True, r.yes), (False, r.n - r.yes)) if k} == times
+
+
+def test_order_of_words_counts(spark):
+    """A text that says sentences again scores better than its words in any order."""
+    rng = random.Random(12)
+    words = ["".join(rng.choices(string.ascii_lowercase, k=5)) for _ in range(300)]
+    rows = []
+    for k in range(200):
+        said = rng.sample(words, 30) * 3
+        rows.append((2 * k, " ".join(said)))
+        rows.append((2 * k + 1, " ".join(rng.sample(said, len(said)))))
+    got = lm_scoring.score(spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string"), F.col("doc_id") % 10 >= 8).where("held_out").collect()
+    by = {r.doc_id: r.score for r in got}
+    assert all(by[i] > by[i + 1] + 10 for i in by if i % 2 == 0) and len(by) == 80
+
+
 def test_counting_bits_takes_little_more_than_its_table(monkeypatch):
     """Counts are added in place; as sums over all slots for some words they took five times the table."""
     import tracemalloc
