@@ -544,26 +544,37 @@ def held_out(doc_id: Column, parts: int = 5, part: int = 1) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def mixed(price: np.ndarray, shares: np.ndarray) -> np.ndarray:
-    """log10 of the probability of each word of a text. price: by word and class; shares: of tokens, by class.
+def mixed(price: np.ndarray, shares: np.ndarray, sizes: list[int] | None = None) -> np.ndarray:
+    """log10 of the probability of each word of some texts. price: by word and class; shares: of tokens, by class; sizes: of
+    the texts, one after another; one text if not given.
 
     The classes' weights before a word are their shares times what the last WINDOW words say for each.
     """
-    start = np.log10(shares)
-    so_far = np.concatenate([np.zeros((1, price.shape[1])), np.cumsum(price, 0)])
-    at = np.arange(len(price))
-    lead = start + so_far[at] - so_far[np.maximum(at - WINDOW, 0)]
-    gate = 10.0 ** np.clip(lead - lead.max(1, keepdims=True), -300, 0)
-    gate = 0.99 * gate / gate.sum(1, keepdims=True) + 0.01 * shares
-    best = price.max(1)
-    return best + np.log10((gate * 10.0 ** (price - best[:, None])).sum(1))
+    sizes = [len(price)] if sizes is None else sizes
+    ends = np.cumsum(sizes, dtype=np.int64)
+    p = np.ascontiguousarray(price.T) * np.log(10)
+    so_far = np.zeros(p.shape)
+    for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True):  # by text, so that copies score the same to the last digit
+        np.cumsum(p[:, a : b - 1], 1, out=so_far[:, a + 1 : b])
+    back = np.maximum(np.arange(p.shape[1]) - WINDOW, np.repeat(ends - sizes, sizes))
+    lead = np.log(shares)[:, None] + so_far - so_far[:, back]
+    gate = np.exp(np.maximum(lead - lead.max(0), -690))
+    gate = 0.99 * gate / gate.sum(0) + 0.01 * shares[:, None]
+    best = p.max(0)
+    return (best + np.log((gate * np.exp(p - best)).sum(0))) / np.log(10)
 
 
 def _follows(key: np.ndarray, tokens: np.ndarray):
     """By token: a number of its context (key); the token that came last in the same context, -1 for none; how often such
     was tried in this context before, and was right; and whether it is right now."""
-    order = np.argsort(key, kind="stable")
-    ordered, token = key[order], tokens[order]
+    bits = len(key).bit_length()
+    if int(key.max(initial=0)) >> (62 - bits):
+        order = np.argsort(key, kind="stable")
+        ordered = key[order]
+    else:  # the same order, sorted with places
+        ordered = np.sort((key << bits) | np.arange(len(key)))
+        order, ordered = ordered & ((1 << bits) - 1), ordered >> bits
+    token = tokens[order]
     first = np.r_[True, ordered[1:] != ordered[:-1]]
     group, start = np.cumsum(first) - 1, np.flatnonzero(first)
     last = np.where(first, -1, np.r_[-1, token[:-1]])
@@ -676,7 +687,8 @@ def _sum_up(tokens: int, distinct: int, shares: np.ndarray, chance: np.ndarray):
         base, out = np.log10((c + 0.5) / (tokens + 0.5 * (distinct + 1))), []
         for some in _together(texts.idx):
             sizes = list(map(len, some))
-            each = with_words_before(np.concatenate([mixed(price[i], shares) for i in some]), np.concatenate(some), sizes, chance)
+            every = np.concatenate(some)
+            each = with_words_before(mixed(price[every], shares, sizes), every, sizes, chance)
             totals = np.add.reduceat(each, np.cumsum([0, *sizes[:-1]]))
             out += [(len(i), int((c[i] > 0).sum()), float(base[i].sum()), float(x)) for i, x in zip(some, totals, strict=True)]
         frame = pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score", "score"])
