@@ -188,3 +188,30 @@ def test_many_polygons(spark):
     assert polygons.locate(df, rings.limit(0)).count() == 0
     squares = polygons.cover(polygons.edges_of(rings))[0].collect()
     assert any(q.whole for q in squares) and len({q.level for q in squares}) > 3
+
+
+def _equal_jobs(spark, cells, seeds) -> tuple[dict, int]:
+    """(cells and cheaper ones by stratum, jobs) of balance.equal_strata."""
+    spark.sparkContext.setJobGroup("equal", "equal")
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup("equal"))
+    got = balance.equal_strata(cells, seeds, 1)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("equal")) - before
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return {r.stratum_id: (r.n_cells, r.n_cheaper) for r in balance.certificate(got, cells).collect()}, jobs
+
+
+def test_equal_sizes_take_no_more_jobs_for_copies(spark):
+    """4000 places in pairs all over a square, 5 and 400 times: how often squares get finer depends on places, not on the cells in them."""
+    seeds, found = [(0.1 * (k * 7 % 12), 0.1 * (k * 5 % 11)) for k in range(12)], {}
+    for copies in (5, 400):
+        cells = spark.range(4000 * copies).selectExpr("id AS cell_id", "(id % 4000 div 2) * 0.6180339887498949D % 1 + id % 2 * 1e-9D AS x", "(id % 4000 div 2) * 0.7548776662466927D % 1 AS y")
+        sizes, found[copies] = _equal_jobs(spark, cells, seeds)
+        assert sizes == {k: (n, 0) for k, n in enumerate(balance.capacities(4000 * copies, 12), 1)}
+    assert found[400] <= found[5], found
+
+
+def test_equal_sizes_of_places_that_no_square_parts(spark):
+    """0 and 1e-17 seen from -1 are one number, and more cells lie there than places are counted at once."""
+    cells = spark.range(400_000).selectExpr("id AS cell_id", "CASE id % 4 WHEN 0 THEN -1D WHEN 1 THEN 0D WHEN 2 THEN 1e-17D ELSE 1D END AS x", "0D AS y")
+    sizes, jobs = _equal_jobs(spark, cells, [(-1.0, 0.0), (1.0, 0.0)])
+    assert sizes == {1: (200_000, 0), 2: (200_000, 0)} and jobs < 30
