@@ -3,14 +3,17 @@
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
+from compare import rows_of
 from pyspark.sql import functions as F
 
 from quadrant.functions.quantiles import medians
 from quadrant.functions.ranks import ranked
 from quadrant.operators import balance, samplers, spacing
 from quadrant.operators.strata import seed_cells, stratify, within_sse
+from quadrant.plans import registry
 from quadrant.sources import areas
 from quadrant.sources.areas import Area
 
@@ -215,3 +218,16 @@ def test_equal_sizes_of_places_that_no_square_parts(spark):
     cells = spark.range(400_000).selectExpr("id AS cell_id", "CASE id % 4 WHEN 0 THEN -1D WHEN 1 THEN 0D WHEN 2 THEN 1e-17D ELSE 1D END AS x", "0D AS y")
     sizes, jobs = _equal_jobs(spark, cells, [(-1.0, 0.0), (1.0, 0.0)])
     assert sizes == {1: (200_000, 0), 2: (200_000, 0)} and jobs < 30
+
+
+@pytest.mark.parametrize("name", ["coverage_equal_area_sizes"])
+def test_equal_area_queries_take_few_jobs_for_copies(spark, name, tmp_path):
+    """All parts of sf0.1 six times with shifted keys: sizes by SQL, in about as many jobs as for one copy."""
+    part = spark.read.parquet("/root/testdata/sf0.1/part.parquet").crossJoin(spark.range(6).withColumnRenamed("id", "c"))
+    part.withColumn("p_partkey", part.p_partkey + 20000 * part.c).drop("c").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    spark.sparkContext.setJobGroup(name, name)
+    rows = registry.queries()[name](spark, str(tmp_path)).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    want = duckdb.sql(registry.oracle_sql()[name].replace("FROM part", f"FROM '{tmp_path}/part.parquet/*.parquet'"))
+    assert rows_of(rows[0].__fields__, rows) == rows_of(want.columns, want.fetchall()) and jobs < 70, jobs
