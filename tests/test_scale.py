@@ -220,7 +220,7 @@ def test_equal_sizes_of_places_that_no_square_parts(spark):
     assert sizes == {1: (200_000, 0), 2: (200_000, 0)} and jobs < 30
 
 
-@pytest.mark.parametrize("name", ["coverage_equal_area_sizes"])
+@pytest.mark.parametrize("name", ["coverage_equal_area_sizes", "composite_sizes"])
 def test_equal_area_queries_take_few_jobs_for_copies(spark, name, tmp_path):
     """All parts of sf0.1 six times with shifted keys: sizes by SQL, in about as many jobs as for one copy."""
     part = spark.read.parquet("/root/testdata/sf0.1/part.parquet").crossJoin(spark.range(6).withColumnRenamed("id", "c"))
