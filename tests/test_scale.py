@@ -88,6 +88,20 @@ def test_equal_sizes_are_no_worse_than_exchange(spark):
     assert within_sse(got) <= np.mean([exchanged(points, 9, s) for s in range(4)]) * 1.005
 
 
+def test_equal_strata_are_scored_by_compiled_passes(spark, monkeypatch):
+    """No pass over the cells of equal strata looks at an array of centers, which isn't compiled; the score is brute force's."""
+    from quadrant.operators import strata
+
+    def interpreted(*_):
+        raise AssertionError("an array of centers")
+
+    monkeypatch.setattr(strata, "nearest_center", interpreted)
+    for k, n_try in ((1, 1), (7, 2)):
+        got = stratify(spark, SQUARE, k, n_cells=400, n_try=n_try, equal_area=True)
+        xy, c = (np.array([(r.x, r.y) for r in df.collect()]) for df in (got.cells, got.centroids))
+        assert len(got.tries) == n_try and got.mssd == min(got.tries) == pytest.approx(((xy[:, None] - c[None]) ** 2).sum(2).min(1).mean())
+
+
 def test_equal_sizes_of_crowded_cells_have_a_certificate(spark):
     """A third of the cells in one place, more than any stratum holds."""
     rng = random.Random(6)
