@@ -13,6 +13,7 @@ from quadrant.functions.ranks import ranked
 from quadrant.functions.rng import uniform
 from quadrant.operators.strata import Strata, stratify
 from quadrant.sources.areas import Area, trapezoids
+from quadrant.sources.shared import written
 
 LABELS = {"simple_random": "Simple random sampling", "stratified_random": "Stratified random sampling", "coverage": "Spatial coverage sampling", "coverage_equal_area": "Spatial coverage sampling, equal area", "composite": "Composite sampling", "maxvol": "D-optimal sampling"}
 
@@ -102,8 +103,8 @@ def draw(cells: DataFrame, n_per_stratum: int, seed: int, cell_size: tuple[float
 
 
 def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    """rows with sample_id, from 1, in that order."""
-    return ranked(rows, order, rank="sample_id").withColumn("sample_id", (F.col("sample_id") + 1).cast("int"))
+    """rows with sample_id, from 1, in that order. They are written first, as ranking reads them twice, and each time the cells they come from."""
+    return ranked(written(rows, "numbered"), order, rank="sample_id").withColumn("sample_id", (F.col("sample_id") + 1).cast("int"))
 
 
 def stratified(strata: Strata, n_per_stratum: int = 1, seed: int = 1) -> Samples:

@@ -143,6 +143,19 @@ def test_capacities():
     assert balance.capacities(10, 4) == [3, 3, 2, 2] and balance.capacities(3, 3) == [1, 1, 1]
 
 
+def test_numbering_draws_reads_no_cells(spark, monkeypatch):
+    """Draws are numbered from a table of them, not by joining them with all cells again; they are cells of their strata."""
+    read, real = [], samplers.ranked
+    monkeypatch.setattr(samplers, "ranked", lambda df, *a, **k: (read.append(df.inputFiles()), real(df, *a, **k))[1])
+    cells = spark.range(300).selectExpr("id AS cell_id", "double(id % 20) AS x", "double(id div 20) AS y")
+    strata = stratify(spark, cells, 4, equal_area=True)
+    got = samplers.composite(spark, strata, n_composites=3).samples.collect()
+    assert read[-1] and all("/numbered-" in f for f in read[-1])
+    of = {(r.x, r.y): r.stratum_id for r in strata.cells.collect()}
+    assert sorted((r.sample_id, r.stratum_id, r.composite) for r in got) == [(3 * k + c, k + 1, c) for k in range(4) for c in (1, 2, 3)]
+    assert all(of[r.x, r.y] == r.stratum_id for r in got)
+
+
 def test_trapezoids_cover_areas_once(spark):
     holed = Area(((((0, 0), (10, 0), (10, 10), (0, 10)), ((4, 4), (6, 4), (6, 6), (4, 6))), (((8, 8), (14, 8), (14, 14), (8, 14)),)))
     assert sum(t.size() for t in areas.trapezoids(holed)) == pytest.approx(96 + 36 - 4)
