@@ -258,3 +258,14 @@ def test_equal_area_queries_take_few_jobs_for_copies(spark, name, tmp_path):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     want = duckdb.sql(registry.oracle_sql()[name].replace("FROM part", f"FROM '{tmp_path}/part.parquet/*.parquet'"))
     assert rows_of(rows[0].__fields__, rows) == rows_of(want.columns, want.fetchall()) and jobs < 70, jobs
+
+
+def test_equal_strata_query_goes_on_until_nothing_is_gained(spark, monkeypatch):
+    """The query's strata have converged: another step from their means gains less than sums of squares are told apart by."""
+    seen, certificate = [], balance.certificate
+    monkeypatch.setattr(balance, "certificate", lambda found, cells: seen.append((found, cells)) or certificate(found, cells))
+    registry.queries()["equal_strata"](spark, "/root/testdata/sf0.001").collect()
+    (found, cells), fill = seen[0], balance._Filling(seen[0][1])
+    again = fill(found.means, found.prices, np.array(balance.capacities(fill.n, len(found.means)), np.int64))
+    means = again.assign(cells).groupBy("stratum_id").agg((F.count(F.lit(1)) * (F.var_pop("x") + F.var_pop("y"))).alias("cost"))
+    assert found.converged and means.agg(F.sum("cost")).first()[0] >= found.cost * (1 - 1e-6)
