@@ -237,6 +237,32 @@ def test_evolution_never_loses():
         assert len(first[0][0]) == best_fit_decreasing(size)
 
 
+def hard(n):
+    """Lengths of about two and a half a sequence, the largest first."""
+    rng = random.Random(7)
+    return sorted((rng.randint(900, 2100) for _ in range(n)), reverse=True)
+
+
+def test_evolution_goes_on_until_nothing_is_gained(monkeypatch):
+    """Not for a fixed number of crossovers: clearly fewer sequences than best fit gives, and a child of them hardly ever helps."""
+    size, made, cross = hard(512), [], packing._cross
+    monkeypatch.setattr(packing, "_cross", lambda *a: made.append(cross(*a)) or made[-1])
+    got = packing.evolve(packing.founders(size, 4096, 1), size, 4096, 1)
+    assert len(got[0][0]) <= 0.98 * best_fit_decreasing(size)
+    best = packing.fitness(got[0], 4096)
+    assert len(made) > 500 and all(packing.fitness(x, 4096) < best for x in made[-60:])
+    easy = [64] * 640  # ten full sequences at once, which no crossover betters
+    made.clear()
+    assert len(packing.evolve(packing.founders(easy, 4096, 1), easy, 4096, 1)[0][0]) == 10 and 0 < len(made) < 100
+
+
+def test_pipeline_packs_until_nothing_is_gained(spark, monkeypatch):
+    size = hard(512)
+    rows = spark.createDataFrame([(k, 0, 0, n, k) for k, n in enumerate(size)], packing.PIECE)
+    monkeypatch.setattr(packing, "pieces", lambda docs: docs)
+    assert packed_well(corpus_pipeline.pack_sequences(spark, rows, "").collect()) <= 0.98 * best_fit_decreasing(size)
+
+
 # near-duplicates
 
 
